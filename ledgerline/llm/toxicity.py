@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
-from dataclasses import dataclass
+from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Labelled rows that a model is fitted on: at most so many of each class, in order of a hash of their id.
-SAMPLE_EACH = 3000
-VOCABULARY = 30_000
+SAMPLE_EACH = 2500
+#: Features that a model may have, and the lengths of the beginnings of words among them.
+FEATURES, PREFIXES = 4000, (4, 5, 6)
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 
@@ -25,75 +28,97 @@ _FOLD = bytes(
 )
 
 
+def features(word: bytes) -> list[bytes]:
+    """A word and its beginnings of 4 to 6 bytes, so that inflected and joined forms share weights."""
+    return [word, *(word[:k] + b"*" for k in PREFIXES if len(word) >= k)]
+
+
 def sentences(text: str | None) -> list[list[bytes]]:
     """The distinct words of each sentence that has any."""
     folded = (text or "").encode().translate(_FOLD)
     return [sorted(words) for s in folded.split(b"\n") if (words := set(s.split()))]
 
 
-@dataclass(frozen=True)
+class _Weights(dict):
+    """Word to weight, filled as words come, of bounded size."""
+
+    def __init__(self, by_feature):
+        self.by_feature = by_feature
+
+    def __missing__(self, word):
+        if len(self) >= 1_000_000:
+            self.clear()
+        value = self[word] = math.fsum(filter(None, map(self.by_feature.get, features(word))))
+        return value
+
+
 class Model:
-    """P(document) = 1 - prod over sentences of (1 - sigmoid(bias + sum of the weights of its words))."""
+    """P(document) = 1 - prod over sentences of (1 - sigmoid(bias + sum over its distinct words of their features' weights))."""
 
-    bias: float
-    weights: dict[bytes, float]
+    def __init__(self, bias: float, weights: dict[bytes, float]):
+        self.bias, self.weights, self.seen = bias, weights, _Weights(weights)
+
+    def __reduce__(self):
+        return Model, (self.bias, self.weights)
+
+    def logits(self, folded: bytes) -> np.ndarray:
+        get = self.seen.__getitem__
+        return np.asarray([self.bias + math.fsum(filter(None, map(get, set(words)))) for s in folded.split(b"\n") if (words := s.split())], float)
 
     def score(self, text: str | None) -> float:
-        folded = (text or "").encode().translate(_FOLD)
-        return float(1 - np.exp(-np.logaddexp(0, self._logits(folded)).sum()))
+        return float(-np.expm1(-np.logaddexp(0, self.logits((text or "").encode().translate(_FOLD))).sum()))
+
 
-    def _logits(self, folded: bytes) -> np.ndarray:
-        known, out, plain = self.weights.keys(), [], 0
-        for s in folded.split(b"\n"):
-            if words := s.split():
-                if found := known & set(words):
-                    out.append(self.bias + sum(self.weights[w] for w in sorted(found)))
-                else:
-                    plain += 1
-        return np.concatenate([np.asarray(out, float), np.full(plain, self.bias)])
+def _screened(split, y) -> list[bytes]:
+    """The features whose documents' labels differ most from the rest's, by chi-square."""
+    seen, positive = Counter(), Counter()
+    for doc, label in zip(split, y, strict=True):
+        own = {f for w in {w for s in doc for w in s} for f in features(w)}
+        seen.update(own)
+        if label:
+            positive.update(own)
+    share = sum(y) / max(1, len(y))
+    worth = {f: (positive[f] - n * share) ** 2 / n for f, n in seen.items() if n >= 3}
+    return sorted(worth, key=lambda f: (-worth[f], f))[:FEATURES]
 
 
-def fit(texts: list[str], labels: list[int], l1: float = 4.0, rounds: int = 150, rate: float = 0.15, weight=(1.0, 1.0)) -> Model:
+def fit(texts: list[str], labels: list[int], l1: float = 0.5, rounds: int = 150, rate: float = 0.15, weight=(1.0, 1.0)) -> Model:
     """Maximum likelihood of the documents' labels under the noisy-or of their sentences, with an
-    L1 penalty on the words' weights: proximal gradient steps with running scales.
+    L1 penalty on the features' weights: proximal gradient steps with running scales.
 
     ``weight``: what a document of class 0 and of class 1 counts. Copies of a text count once.
     """
     pairs = sorted({(t or "", int(y)) for t, y in zip(texts, labels, strict=True)})
     split = [sentences(t) for t, _ in pairs]
-    seen: dict[bytes, int] = {}
-    for doc in split:
-        for word in {w for s in doc for w in s}:
-            seen[word] = seen.get(word, 0) + 1
-    words = sorted((w for w, n in seen.items() if n >= 3), key=lambda w: (-seen[w], w))[:VOCABULARY]
-    place = {w: i for i, w in enumerate(words)}
-    cols, row_of, doc_of = [], [], []
+    y = np.asarray([label for _, label in pairs], float)
+    names = _screened(split, y)
+    place = {f: i for i, f in enumerate(names)}
+    cols, row_of, doc_of = array("i"), array("i"), array("i")
     for d, doc in enumerate(split):
         for s in doc:
-            known = [place[w] for w in s if w in place]
-            cols += known
-            row_of += [len(doc_of)] * len(known)
+            known = [place[f] for w in s for f in features(w) if f in place]
+            cols.extend(known)
+            row_of.extend([len(doc_of)] * len(known))
             doc_of.append(d)
-    cols, row_of, doc_of = (np.asarray(x, np.int64) for x in (cols, row_of, doc_of))
-    y = np.asarray([label for _, label in pairs], float)
+    cols, row_of, doc_of = (np.frombuffer(x, np.int32).astype(np.int64) if len(x) else np.zeros(0, np.int64) for x in (cols, row_of, doc_of))
     if not len(doc_of) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        return Model(float(np.log(max(share, 1e-4) / max(1 - share, 1e-4)) if len(y) else -5.0), {})
+        return Model(math.log(max(share, 1e-4) / max(1 - share, 1e-4)) if len(y) else -5.0, {})
     counts = np.where(y == 1, weight[1], weight[0])
-    w, bias = np.zeros(len(words)), float(np.log(max(1e-4, (counts * y).sum() / counts.sum()) / (len(doc_of) / len(pairs))))
-    m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+    w, bias = np.zeros(len(names)), math.log(max(1e-4, (counts * y).sum() / counts.sum()) / (len(doc_of) / len(pairs)))
+    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, rounds + 1):
         z = bias + np.bincount(row_of, w[cols], minlength=len(doc_of))
         hazard = np.bincount(doc_of, np.logaddexp(0, z), minlength=len(pairs))
-        pull = np.where(y == 1, -1 / np.expm1(np.maximum(hazard, 1e-9)), 1.0) * counts
-        dz = pull[doc_of] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(cols, dz[row_of], minlength=len(words)), dz.sum())
+        pull = np.where(y == 1, -1 / np.expm1(np.clip(hazard, 1e-9, 500)), 1.0) * counts
+        dz = pull[doc_of] / (1 + np.exp(-np.clip(z, -500, 500)))
+        grad = np.append(np.bincount(cols, dz[row_of], minlength=len(names)), dz.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         scale = rate / (np.sqrt(v / (1 - 0.99**step)) + 1e-3)
         w = w - scale[:-1] * m[:-1] / (1 - 0.9**step)
         w = np.sign(w) * np.maximum(0, np.abs(w) - scale[:-1] * l1)
         bias -= scale[-1] * m[-1] / (1 - 0.9**step)
-    return Model(float(bias), {words[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)})
+    return Model(float(bias), {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)})
 
 
 def held_out(id_col: Column, folds=HELD_OUT) -> Column:
@@ -142,7 +167,7 @@ def offending(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", t
         for text in texts.to_pylist():
             folded, found = (text or "").encode().translate(_FOLD), []
             for m in re.finditer(rb"[^\n]+", folded):
-                if len(z := model._logits(m.group())) and (p := float(1 / (1 + np.exp(-z[0])))) >= threshold:
+                if len(z := model.logits(m.group())) and (p := float(1 / (1 + np.exp(-z[0])))) >= threshold:
                     found.append({"start": m.start(), "end": m.end(), "score": p})
             out.append(found)
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))
