@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import as_rows, bloom_has, bloom_of, per_worker, salted_lookup, stash, table
 from .graph import components
 
-CELL_BITS, SLICE_BITS = 22, 14
+CELL_BITS, SLICE_BITS = 23, 15
 #: A prefix shingle of more sets than this is treated as crowded.
 CROWD = 64
 #: Sets of a crowd that all others of it are compared with in the first round.
@@ -38,30 +38,66 @@ def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-class _Words(dict):
-    def __missing__(self, word):
-        import xxhash
+def _tables():
+    """Random values of bytes (A-Z as a-z), powers of an odd base, and which bytes part words."""
+    byte = _mix(np.arange(256, dtype=np.uint64), 7)
+    byte[65:91] = byte[97:123]
+    power = np.cumprod(np.append(np.uint64(1), np.full(65_535, _ODD[1], np.uint64)))
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    return byte, power, space
 
-        if len(self) >= 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def _pieces(raws: list[bytes], most: int = 1 << 18):
+    """Runs of texts of about ``most`` bytes together."""
+    first, size = 0, 0
+    for i, raw in enumerate(raws):
+        if size and size + len(raw) > most:
+            yield raws[first:i]
+            first, size = i, 0
+        size += len(raw)
+    if first < len(raws):
+        yield raws[first:]
 
-def shingles(text: str | bytes | None, k: int, seen: dict | None = None) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct k-word shingles; fewer words make one shingle of all of them."""
-    data = text.encode() if isinstance(text, str) else text or b""
-    words = data.lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map((seen if seen is not None else _Words()).__getitem__, words), np.uint64, n)
-    k = min(k, n)
-    out = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(_ODD[0]) + ids[i : i + n - k + 1]
-        out ^= out >> np.uint64(29)
-    return np.unique(_mix(out))
+
+def shingle_sets(raws: list[bytes], k: int):
+    """For each text, the sorted 64-bit hashes of its distinct k-word shingles; fewer words make one of all of them.
+
+    A word's hash is the sum of its bytes' random values times powers of a base by place,
+    mixed with its length; a shingle folds the hashes of its words. All in NumPy, many texts at a time.
+    """
+    byte, power, space = per_worker("shingle-tables", _tables)
+    for texts in _pieces(raws):
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        gap = space[data]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if not gap[0]:
+            edge = np.append(0, edge)
+        starts, ends = edge[0::2], edge[1::2]
+        lens = ends - starts
+        inside = np.flatnonzero(~gap)
+        place = (inside - np.repeat(starts, lens)) & 0xFFFF
+        offsets = np.append(0, np.cumsum(lens))[:-1]
+        words = np.add.reduceat(byte[data[inside]] * power[place], offsets) if len(starts) else np.zeros(0, np.uint64)
+        words = _mix(words ^ lens.astype(np.uint64))
+        bounds = np.searchsorted(starts, np.append(0, np.cumsum([len(t) + 1 for t in texts])))
+        folded = np.full(max(len(words) - k + 1, 0), k, np.uint64)
+        for i in range(k if len(folded) else 0):
+            folded = folded * np.uint64(_ODD[0]) + words[i : i + len(folded)]
+            folded ^= folded >> np.uint64(29)
+        folded = _mix(folded)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if hi - lo >= k:
+                out = np.sort(folded[lo : hi - k + 1])
+                yield out[np.append(True, out[1:] != out[:-1])]
+            elif hi == lo:
+                yield np.zeros(0, np.uint64)
+            else:
+                one = np.full(1, hi - lo, np.uint64)
+                for w in words[lo:hi]:
+                    one = one * np.uint64(_ODD[0]) + w
+                    one ^= one >> np.uint64(29)
+                yield _mix(one)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -73,9 +109,7 @@ def similar(common: int, n: int, m: int, percent: int) -> bool:
 
 
 def _sets(batch, k):
-    seen = per_worker("shingle-words", _Words)
-    for raw in batch.column(1).cast(pa.binary()).to_pylist():
-        yield shingles(raw, k, seen)
+    return shingle_sets([raw or b"" for raw in batch.column(1).cast(pa.binary()).to_pylist()], k)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -102,16 +136,17 @@ def describe(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
             def tally(cells):
                 if cells:
-                    np.add(counts, np.bincount(np.concatenate(cells), minlength=1 << CELL_BITS).astype(np.int32), out=counts)
+                    own, many = np.unique(np.concatenate(cells), return_counts=True)
+                    counts[own] += many.astype(np.int32)
 
             held = 0
             for s in _sets(batch, k):
                 n.append(len(s))
                 digests.append(_digest(s) if len(s) else None)
                 keys.append(_key(digests[-1]) if len(s) else None)
-                cells.append((s >> np.uint64(64 - CELL_BITS)).astype(np.int64))
+                cells.append((s >> np.uint64(64 - CELL_BITS)).astype(np.int32))
                 held += len(s)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     tally(cells)
                     cells, held = [], 0
             tally(cells)
@@ -134,25 +169,29 @@ def describe(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return both.where("kind = 0").select("id", "h", "n", "digest", "key"), both.where("kind = 1").select("slice", "counts")
 
 
-def frequency_levels(slices: DataFrame) -> bytes:
-    """A level for each of the sketch's cells (4 MB, whatever the corpus): 0 unless its count
+def frequency_levels(slices: DataFrame, shingles_in_all: int) -> bytes:
+    """A level for each of the sketch's cells (8 MB, whatever the corpus): 0 unless its count
     stands out from the mean, then rising with its logarithm."""
+    mean = shingles_in_all / (1 << CELL_BITS)
+    least = 4 * mean**0.5 + 3
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(packed), np.int32).astype(np.int64)
-                sums[i] = sums[i] + part if i in sums else part
-        yield pa.RecordBatch.from_pydict({"slice": list(sums), "counts": [c.tobytes() for c in sums.values()]}, schema=pa.schema([("slice", pa.int32()), ("counts", pa.binary())]))
+                part = np.frombuffer(zlib.decompress(packed), np.int32)
+                if i in sums:
+                    sums[i] += part
+                else:
+                    sums[i] = part.astype(np.int64)
+        excess = {i: c - mean for i, c in sums.items()}
+        levels = [np.where(e < least, 0, 1 + np.floor(np.log2(np.maximum(e, 1) / least))).clip(0, 31).astype(np.uint8).tobytes() for e in excess.values()]
+        yield pa.RecordBatch.from_pydict({"slice": list(sums), "levels": levels}, schema=pa.schema([("slice", pa.int32()), ("levels", pa.binary())]))
 
-    total = np.zeros(1 << CELL_BITS, np.int64)
-    for row in slices.repartition("slice").mapInArrow(add, "slice int, counts binary").collect():
-        total[row["slice"] << SLICE_BITS : row["slice"] + 1 << SLICE_BITS] = np.frombuffer(row["counts"], np.int64)
-    mean = total.mean()
-    least = 6 * mean**0.5 + 4
-    excess = total - mean
-    return np.where(excess < least, 0, 1 + np.floor(np.log2(np.maximum(excess, 1) / least))).astype(np.uint8).tobytes()
+    out = bytearray(1 << CELL_BITS)
+    for row in slices.repartition("slice").mapInArrow(add, "slice int, levels binary").collect():
+        out[row["slice"] << SLICE_BITS : row["slice"] + 1 << SLICE_BITS] = row["levels"]
+    return bytes(out)
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, levels: bytes, hot: dict) -> DataFrame:
@@ -341,12 +380,8 @@ def _blocked(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
             return [(block, a, part) for block, part in _blocks(a, found)] if len(found) else []
 
         def out(rows):
-            need = sorted({(b, x) for b, a, partners in rows for x in (a, *partners.tolist())})
-            m, k = len(rows), len(need)
-            return pa.RecordBatch.from_arrays([
-                pa.array([0] * m + [1] * k, pa.int32()), pa.array([b for b, _, _ in rows] + [b for b, _ in need], pa.int64()),
-                pa.array([a for _, a, _ in rows] + [x for _, x in need], pa.int64()), pa.array([p.tobytes() for _, _, p in rows] + [None] * k, pa.binary()),
-            ], names=["kind", "block", "key", "partners"])
+            columns = zip(*((b, a, p.tobytes()) for b, a, p in rows), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "key", "partners"])
 
         now, parts, rows, size = None, ([], [], []), [], 0
         for batch in batches:
@@ -366,31 +401,52 @@ def _blocked(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield out(rows)
 
     dealt = lists.repartition("a").sortWithinPartitions("a")
-    both = stash(dealt.select("a", "part", "partners").mapInArrow(run, "kind int, block long, key long, partners binary"), "jaccard-blocks", ("kind",))
-    return both.where("kind = 0").drop("kind"), both.where("kind = 1").select("block", "key").distinct()
+    wanted = stash(dealt.select("a", "part", "partners").mapInArrow(run, "block long, key long, partners binary"), "jaccard-blocks")
+
+    def needs(batches):
+        def out(block, keys):
+            return pa.RecordBatch.from_pydict({"block": [block] * len(keys), "key": sorted(keys)}, schema=pa.schema([("block", pa.int64()), ("key", pa.int64())]))
+
+        now, keys = None, set()
+        for batch in batches:
+            for block, key, partners in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now:
+                    if keys:
+                        yield out(now, keys)
+                    now, keys = block, set()
+                keys.add(key)
+                keys.update(np.frombuffer(partners, np.int64).tolist())
+        if keys:
+            yield out(now, keys)
+
+    by_block = wanted.repartition("block").sortWithinPartitions("block")
+    return wanted, stash(by_block.mapInArrow(needs, "block long, key long"), "jaccard-need")
 
 
 def verify(lists: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v): links among the listed pairs, of each block a spanning forest of them.
 
-    A block is some sets ``a`` with their partners; every set goes once to each block that needs it.
-    The texts are scanned again, and only rows that a filter of the needed ids has are shingled.
+    A block is some sets ``a`` with their partners; every text goes once to each block that needs its set.
+    Texts travel compressed. They are scanned again, and only rows that a filter of the needed ids has are looked at.
     """
     wanted, need = _blocked(lists)
-    need = stash(need, "jaccard-need")
     ids = classes.join(need.select("key").distinct(), "key", "left_semi").select("rep_id", "rep_h", row_mark("rep_id", "rep_h").alias("mark"))
     ids = stash(ids, "jaccard-ids")
     bloom = bloom_of(ids, "mark", ids.count(), 16)
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def gather(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor().compress
         bits, whole = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
         for batch in batches:
             marks = as_rows(batch.column(2).to_pylist(), 16) if batch.num_rows else np.zeros((0, 16), np.uint8)
             some = batch.filter(pa.array(bloom_has(whole, bits, marks)))
-            sets = [s for s in _sets(some, k) if len(s)]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array([_key(_digest(s)) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "body"])
+            raws = [raw or b"" for raw in some.column(1).cast(pa.binary()).to_pylist()]
+            keys = [(_key(_digest(s)), raw) for s, raw in zip(shingle_sets(raws, k), raws, strict=True) if len(s)]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keys], pa.int64()), pa.array([pack(raw) for _, raw in keys], pa.binary())], names=["key", "body"])
 
     marked = docs.select("id", "text", row_mark("id", "h").alias("mark"))
     sets = marked.mapInArrow(gather, "key long, body binary")
@@ -398,6 +454,9 @@ def verify(lists: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     rows = shipped.unionByName(wanted.select("block", F.lit(1).alias("kind"), "key", F.col("partners").alias("body")))
 
     def compare(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         block, sets, root, edges = None, {}, {}, []
 
         def find(x):
@@ -411,7 +470,7 @@ def verify(lists: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
                 if b != block:
                     block, sets, root = b, {}, {}
                 if kind == 0:
-                    sets[key] = np.frombuffer(body, np.uint64)
+                    sets[key] = next(shingle_sets([unpack(body)], k))
                     continue
                 own = sets[key]
                 for other in np.frombuffer(body, np.int64).tolist():
@@ -445,13 +504,13 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, pe
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
     described, slices = describe(docs, words)
-    total = described.count()
+    total, all_shingles = described.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     rep = F.min(F.struct(F.col("id").isNull().alias("u"), "id", "h"))
     classes = described.where("n > 0").groupBy("digest", "key").agg(rep.alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = stash(classes.select("digest", "key", F.col("rep.id").alias("rep_id"), F.col("rep.h").alias("rep_h"), "n"), "jaccard-classes")
     fair = max(1, total // 1000)
     hot = {bytes(r["digest"]): (r["rep_id"], r["rep_h"]) for r in classes.where(F.col("n") > fair).collect()}  # a thousand at most
-    lists, crowds = meet(prefixes(docs, words, percent, frequency_levels(slices), hot), percent)
+    lists, crowds = meet(prefixes(docs, words, percent, frequency_levels(slices, all_shingles), hot), percent)
     edges = verify(lists, docs, classes, words, percent)
     roots = stash(components(edges), "jaccard-roots")
     if not crowds.isEmpty():
