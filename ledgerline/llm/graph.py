@@ -29,5 +29,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if mark == tuple(now):
             break
         mark = tuple(now)
+    else:
+        raise RuntimeError(f"links not settled after {most_rounds} rounds")
     roots = state.select("u", F.col("v").alias("root"))
     return roots.unionByName(state.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
