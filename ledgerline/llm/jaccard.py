@@ -528,17 +528,20 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, pe
 
 def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, percent: int = 80) -> DataFrame:
     """``docs``' rows and columns, of each component of linked texts the one with the smallest
-    id (null last; then by a hash of the text). Of rows that repeat id and text one stays; texts without words all stay.
+    id (null last; then by a hash of the text). Of rows that repeat id and text one stays; texts without words all stay,
+    as do different texts of a component whose ids are all null.
 
     Rows that a filter of the ones to look at (64 MB at most) lacks pass without a shuffle.
     """
-    rows = stash(linked(docs, id_col, text_col, words, percent).where("n_shingles > 0"), "jaccard-linked")
+    rows = linked(docs, id_col, text_col, words, percent).where("n_shingles > 0")
+    found = stash(rows.groupBy("id", "h", "component").agg(F.count(F.lit(1)).alias("n")), "jaccard-linked")
     rank = F.struct(F.col("id").isNull().alias("u"), "id", "h")
-    found = rows.groupBy("id", "h", "component").agg(F.count(F.lit(1)).alias("n"))
-    best = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(rank).alias("best"))
-    found = found.join(best, "component", "left").withColumn(
-        "stays", F.coalesce(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h")), F.col("component").isNull())
-    )
+    best = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = stash(best, "jaccard-best")
+    placed = salted_lookup(found.withColumnRenamed("n", "repeats"), best, "component", found.count(), ["id", "h"])
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))
+    nowhere = found.where(F.col("component").isNull()).select("id", "h", F.lit(True).alias("stays"), "n")
+    found = placed.select("id", "h", stays.alias("stays"), F.col("repeats").alias("n")).unionByName(nowhere)
     touched = stash(found.where(~F.col("stays") | (F.col("n") > 1)).select(row_mark("id", "h").alias("_mark"), "stays", "n"), "jaccard-touched")
     bits, body = bloom_of(touched, "_mark", touched.count(), 16)
     shared = docs.sparkSession.sparkContext.broadcast(body)
