@@ -14,15 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = "67108864"
+BATCH_BYTES = "16777216"
 _local: dict[str, str] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder. Arrow batches are bounded in bytes, unless the session says how."""
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded in bytes, unless the session says how."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, "2147483647") or 0) >= 2**31 - 1:
         spark.conf.set(key, BATCH_BYTES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +52,7 @@ def scratch(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends here,
     and a lost executor costs a reread, not a recomputation."""
+    bound_batches(df.sparkSession)
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
