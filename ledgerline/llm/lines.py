@@ -1,4 +1,7 @@
-"""Substring dedup by hashes of lines or paragraphs."""
+"""Substring dedup by hashes of lines or paragraphs, and of the sentences within lines.
+
+A passage that stands inside longer lines shares no line with another document; its sentences do.
+"""
 
 from __future__ import annotations
 
@@ -14,11 +17,19 @@ from .common import salted_lookup, stash, table
 
 #: Units of fewer words stay: such lines repeat by chance.
 MIN_WORDS = 10
+#: What ends a sentence belongs to it, as do blanks before it.
+_SENTENCE = r"[^.!?]*[.!?]+|[^.!?]+"
+_SENTENCES = re.compile(_SENTENCE)
 _BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[\x20\x09-\x0D]*\n")}
 
 
 def unit_places(text: str, unit: str = "line"):
-    """(number, start, end) of each unit, in code points; the breaks belong to none."""
+    """(number, start, end) of each unit, in code points; the breaks belong to none. A sentence has its line's number."""
+    if unit == "sentence":
+        for k, start, end in unit_places(text):
+            for m in _SENTENCES.finditer(text, start, end):
+                yield k, m.start(), m.end()
+        return
     start = 0
     for k, m in enumerate(_BREAKS[unit].finditer(text)):
         yield k, start, m.start()
@@ -70,6 +81,19 @@ def repeated(docs: DataFrame, id_col="doc_id", text_col="text", unit: str = "lin
     return found.where(~first).select("id", "unit", "start", "end", "keep_id", "keep_start", "n")
 
 
+def passages(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Repeated lines, and repeated sentences of other lines: columns of ``repeated`` and ``kind``.
+
+    Edge cases as in ``repeated``. The first place of a sentence is never in a line that goes: that
+    line's own first place would come before it. So of every unit one copy stays.
+    """
+    whole = stash(repeated(docs, id_col, text_col, "line", min_words), "lines-repeated")
+    gone = whole.select(F.col("id").alias("_id"), F.col("unit").alias("_unit")).distinct()
+    inside = repeated(docs, id_col, text_col, "sentence", min_words)
+    inside = inside.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("unit") == F.col("_unit")), "left_anti")
+    return whole.withColumn("kind", F.lit("line")).unionByName(inside.withColumn("kind", F.lit("sentence")))
+
+
 def without(docs: DataFrame, spans: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` with the spans (id, start, end; in code points) cut out of their texts; line
     breaks stay. Spans of an id, at most its text's units, meet in one row."""
@@ -92,8 +116,8 @@ def without(docs: DataFrame, spans: DataFrame, id_col="doc_id", text_col="text")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(table(spark, sf_dir, "documents")).select(
-        F.col("id").alias("doc_id"), F.col("unit").alias("line"), F.col("start").alias("start_char"), F.col("end").alias("end_char"),
+    return passages(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "kind", F.col("unit").alias("line"), F.col("start").alias("start_char"), F.col("end").alias("end_char"),
         F.col("keep_id").alias("keep_doc_id"), F.col("keep_start").alias("keep_start_char"), F.col("n").alias("occurrences"),
     )
 
@@ -101,11 +125,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = rf"""
 WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(parts) AS body, unnest(range(len(parts))) AS line FROM s),
-p AS (SELECT *, coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l),
-n AS (SELECT *, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM p),
+p AS (
+  SELECT *, coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+         regexp_extract_all(body, '{_SENTENCE}') AS own FROM l),
+q AS (SELECT doc_id, line, start AS line_start, unnest(own) AS body, unnest(range(len(own))) AS place FROM p),
+u AS (
+  SELECT doc_id, 'line' AS kind, line, start, body FROM p
+  UNION ALL
+  SELECT doc_id, 'sentence', line, line_start + coalesce(sum(length(body)) OVER (PARTITION BY doc_id, line ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT, body FROM q),
+n AS (SELECT *, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM u),
 k AS (
-  SELECT *, first_value(doc_id) OVER o AS keep_doc_id, first_value(start) OVER o AS keep_start_char, count(*) OVER (PARTITION BY words) AS occurrences
-  FROM n WHERE len(words) >= {MIN_WORDS} WINDOW o AS (PARTITION BY words ORDER BY doc_id, start))
-SELECT doc_id, line::BIGINT AS line, start AS start_char, (start + length(body))::BIGINT AS end_char, keep_doc_id, keep_start_char, occurrences::BIGINT AS occurrences
-FROM k WHERE NOT (doc_id = keep_doc_id AND start = keep_start_char)
+  SELECT *, first_value(doc_id) OVER o AS keep_doc_id, first_value(start) OVER o AS keep_start_char, count(*) OVER (PARTITION BY kind, words) AS occurrences
+  FROM n WHERE len(words) >= {MIN_WORDS} WINDOW o AS (PARTITION BY kind, words ORDER BY doc_id, start)),
+r AS (SELECT * FROM k WHERE NOT (doc_id = keep_doc_id AND start = keep_start_char))
+SELECT doc_id, kind, line::BIGINT AS line, start AS start_char, (start + length(body))::BIGINT AS end_char, keep_doc_id, keep_start_char, occurrences::BIGINT AS occurrences
+FROM r WHERE kind = 'line' OR (doc_id, line) NOT IN (SELECT (doc_id, line) FROM r WHERE kind = 'line')
 """

@@ -39,7 +39,7 @@ def test_query_agrees_with_sql(spark, name):
 OPERATORS = {
     "mix": lambda d, s: mixing.mix(d), "mixed": lambda d, s: mixing.mixed(d), "dedup": lambda d, s: dedup.dedup(d), "shard": lambda d, s: sharding.shard(d),
     "assign": lambda d, s: sharding.assign(d), "leaks": lambda d, s: decontaminate.contaminated(d, s.createDataFrame([(1, "a b c d e f"), (2, None), (3, "")], "item_id long, text string")),
-    "toxic": lambda d, s: d.select(toxicity.score(F.col("text"), toxicity.Model(-3.0, {b"a": 5.0}))), "lines": lambda d, s: lines.repeated(d), "chunks": lambda d, s: chunks.repeated(d),
+    "toxic": lambda d, s: d.select(toxicity.score(F.col("text"), toxicity.Model(-3.0, {b"a": 5.0}))), "lines": lambda d, s: lines.repeated(d), "passages": lambda d, s: lines.passages(d), "chunks": lambda d, s: chunks.repeated(d),
     "linked": lambda d, s: jaccard.linked(d), "one": lambda d, s: jaccard.one_of_each(d), "licenses": lambda d, s: licenses.scan(d),
     "tokens": lambda d, s: tokens.token_counts(d, __import__("public_tokenizers").path("byte_bpe_50k.json")),
 }
@@ -227,3 +227,21 @@ def test_licenses_found_despite_edits(spark):
     x = licenses.scan(documents(spark, [(1, text, "s"), (1, text, "s"), (2, "all rights are reserved", "s")])).orderBy("id").collect()
     assert x[0] == x[1] and x[0]["base_labels"] == "cc-by,reserved" and "mit" in x[0]["labels"].split(",") and x[0]["n_base"] == 2 and x[0]["score"] == 1.0
     assert x[2]["n_base"] == 0 and x[2]["first_word"] is None and x[2]["labels"] == "" and x[2]["score"] == 0.0
+
+
+def test_passages_inside_longer_lines_are_found_and_one_copy_stays(spark):
+    a, b = "Of all the nine words here this one is first. ", "Then a second sentence of eleven words comes along right here. "
+    rows = [
+        (1, "start of a host " + a + b + "its end", "s"), (2, "another host begins with " + a + b + "and goes on", "s"),
+        (3, (a + b).strip() + "\n" + b.upper() + "tail", None), (4, (a + b).strip(), "s"), (5, "Short one. Short one.", "s"), (None, b, "s"), (6, None, "s"),
+    ]
+    docs, text = documents(spark, rows), {r[0]: r[1] for r in rows}
+    got = lines.passages(docs).collect()
+    found = sorted((r["id"] is None, r["id"] or 0, r["kind"], " ".join(text[r["id"]][r["start"] : r["end"]].lower().split())) for r in got)
+    second = b.lower().strip()
+    assert found == [
+        (False, 2, "sentence", second), (False, 3, "sentence", second), (False, 3, "sentence", second),
+        (False, 4, "line", (a + b).lower().strip()), (True, 0, "sentence", second),
+    ]
+    left = " ".join(r["text"] or "" for r in lines.without(docs, lines.passages(docs)).collect()).lower()
+    assert left.count(second) == 1
