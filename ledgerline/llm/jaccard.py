@@ -357,6 +357,8 @@ def cross(crowds: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
 
 
 BLOCK_SETS = 2048
+#: The same for sets that list hubs only: one more block costs no more than the hubs' texts.
+STAR_SETS = 256
 
 
 def _blocks(a: int, partners: np.ndarray):
@@ -371,13 +373,31 @@ def _blocks(a: int, partners: np.ndarray):
 
 def _blocked(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lists joined by set: (block, key, partners), pairs that met in both orders or in a crowd;
-    and the sets that each block needs: (block, key)."""
+    and the sets that each block needs: (block, key).
+
+    Many sets may share their largest partner, a crowd its hubs. Sets come to tasks by hash, so a task that has seen c of a
+    block's takes it that there are c times as many as tasks, and deals the next among as many blocks as
+    those need: beside one from each task, a block gets a few times STAR_SETS or BLOCK_SETS lists, however large the crowd.
+    """
+    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
+        seen: dict[int, int] = {}
+
         def settle(a, parts):
             own = [np.unique(np.concatenate([np.frombuffer(p, np.int64) for p in x])) if x else np.zeros(0, np.int64) for x in parts]
             found = np.union1d(np.intersect1d(own[0], own[1], assume_unique=True), own[2])
-            return [(block, a, part) for block, part in _blocks(a, found)] if len(found) else []
+            return [(place(block, a, part), a, part) for block, part in _blocks(a, found)] if len(found) else []
+
+        def place(block, a, part):
+            nonlocal seen
+            if len(seen) > 200_000:
+                seen = {b: c for b, c in seen.items() if c > 8}
+            before = seen.get(block, 0)
+            seen[block] = before + 1
+            salts = max(1, -(-before * tasks // (STAR_SETS if len(part) <= HUBS else BLOCK_SETS)))
+            salt = zlib.crc32(f"{block}:{a}".encode()) % salts
+            return zlib.crc32(f"{block}:{salt}".encode()) << 20 | block & 0xFFFFF if salt else block
 
         def out(rows):
             columns = zip(*((b, a, p.tobytes()) for b, a, p in rows), strict=True)

@@ -191,6 +191,7 @@ def components_by_hand(rows, k, percent):
 def test_jaccard_join_by_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(jaccard, "CROWD", crowd)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard, "STAR_SETS", 2)
     r = random.Random(5)
     base = [[f"{r.randrange(10**6)}" for _ in range(60)] for _ in range(4)]
     rows = [(i, t, "s") for i, t in enumerate(["", None, "a", "A ", "a b", " "])]
