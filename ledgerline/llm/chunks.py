@@ -1,8 +1,9 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup by content-defined chunks of lines, and by the two lines at every break."""
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -15,14 +16,16 @@ from .common import as_rows, bloom_has, bloom_of, salted_lookup, stash, table
 #: Lines in a rolling window; one boundary in so many windows; a chunk's lines at least and at most.
 WINDOW, MEAN, LEAST, MOST = 2, 3, 2, 16
 _BASE = 0x100000001B3
+#: Chunks that a worker turns into one batch.
+_BATCH = 1 << 15
 
 
 def chunk_places(text: str, mean: int = MEAN, least: int = LEAST, most: int = MOST):
     """(first line, lines, start, end) of each chunk of ``least`` lines or more, in code points.
 
     A boundary follows a line where the rolling hash of the last WINDOW lines' hashes is 0
-    modulo ``mean``, whatever stands before them: text put in or cut out above shifts no boundary
-    below. ``end`` leaves out the break behind the last line.
+    modulo ``mean`` and its chunk has ``least`` lines: text put in or cut out above may shift the
+    boundaries next below. ``end`` leaves out the break behind the last line.
     """
     lines = text.split("\n")
     marks = [zlib.crc32(line.encode()) for line in lines]
@@ -40,18 +43,39 @@ def chunk_places(text: str, mean: int = MEAN, least: int = LEAST, most: int = MO
             first, start = k + 1, at
 
 
+def pair_places(text: str):
+    """(first line, 2, start, end) at each line but the last: every run of two whole lines."""
+    start = 0
+    lines = text.split("\n")
+    for k, (line, below) in enumerate(zip(lines, lines[1:])):
+        yield k, 2, start, start + len(line) + 1 + len(below)
+        start += len(line) + 1
+
+
+def _places(text: str):
+    """The chunks and, between and across them, the pairs that are no chunk themselves."""
+    whole = set()
+    for place in chunk_places(text):
+        if place[1] == 2:
+            whole.add(place[0])
+        yield place
+    for place in pair_places(text):
+        if place[0] not in whole:
+            yield place
+
+
 def _chunks(texts, ids, digest_bytes):
     for own, text in zip(ids, texts, strict=True):
         if text and "\n" in text:
-            for first, size, start, end in chunk_places(text):
+            for first, size, start, end in _places(text):
                 body = text[start:end].encode()
                 if not body.isspace() and body:
                     yield own, first, size, start, end, hashlib.blake2b(body, digest_size=16).digest()[:digest_bytes], body
 
 
 def chunks(docs: DataFrame, digest_bytes: int = 16, bloom=None, hot=None) -> DataFrame:
-    """(id, first_line, lines, start, end, digest) of every chunk; with ``bloom`` only of those
-    that its filter has, and their bytes as ``body``."""
+    """(id, first_line, lines, start, end, digest) of every chunk and pair of lines; with ``bloom``
+    only of those that its filter has, and their bytes as ``body``."""
     fields = [T.StructField(n, T.LongType()) for n in ("first_line", "lines", "start", "end")]
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *fields, T.StructField("digest", T.BinaryType()), T.StructField("body", T.BinaryType())])
     shared = docs.sparkSession.sparkContext.broadcast(bloom) if bloom else None
@@ -61,15 +85,14 @@ def chunks(docs: DataFrame, digest_bytes: int = 16, bloom=None, hot=None) -> Dat
 
         bits, whole = (shared.value[0], np.frombuffer(shared.value[1], np.uint8)) if shared else (0, None)
         for batch in batches:
-            rows = list(_chunks(batch.column(1).to_pylist(), batch.column(0).to_pylist(), digest_bytes))
-            if shared and digest_bytes == 16:
-                keep = bloom_has(whole, bits, as_rows([r[5] for r in rows], 16)) if rows else []
-                rows = [r for r, k in zip(rows, keep, strict=True) if k]
-            elif not shared:
-                rows = [(*r[:6], None) for r in rows]
+            found = _chunks(batch.column(1).to_pylist(), batch.column(0).to_pylist(), digest_bytes)
             types = [batch.schema.field(0).type, *[pa.int64()] * 4, pa.binary(), pa.binary()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
+            for rows in itertools.batched(found if shared else ((*r[:6], None) for r in found), _BATCH):
+                if shared and digest_bytes == 16:
+                    keep = bloom_has(whole, bits, as_rows([r[5] for r in rows], 16))
+                    rows = [r for r, k in zip(rows, keep, strict=True) if k]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -80,11 +103,13 @@ def repeated(docs: DataFrame, id_col="doc_id", text_col="text", digest_bytes: in
     Digests of all chunks are grouped with partial aggregation. A filter of the repeated ones
     (64 MB at most) picks the chunks whose bytes a second scan brings along; each is compared
     with the first of its group by id (null last) and place, and goes only if it is equal.
-    Frequent digests are salted. Texts without a line break, null and empty ones have no chunk; rows that
+    Two whole lines in a row, unless both are blank, that stand at an earlier place as well are always
+    among them: spans overlap, and a longer run is their union. Each line of a span that goes equals a
+    line at an earlier place, so one copy of every line stays. Frequent digests are salted. Texts without a line break, null and empty ones have no chunk; rows that
     repeat id and text share places, and both keep or lose a chunk; extra columns aren't looked at.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = stash(chunks(docs, digest_bytes).drop("body"), "chunks-rows")
+    rows = stash(chunks(docs, digest_bytes).select("id", "start", "digest"), "chunks-rows")
     rank = F.struct(F.col("id").isNull().alias("u"), "id", "start")
     groups = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     index = stash(groups.select("digest", "n", F.col("first.id").alias("keep_id"), F.col("first.start").alias("keep_start")), "chunks-index")

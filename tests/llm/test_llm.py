@@ -168,6 +168,30 @@ def test_chunks_resist_shifts(spark, width):
         assert rows[1][1][x["start"] : x["end"]] == rows[0][1][x["keep_start"] : x["keep_start"] + n]
 
 
+def test_every_shared_run_of_two_lines_is_covered_and_one_copy_of_each_line_stays(spark):
+    r = random.Random(8)
+    rows = [(i, "\n".join(r.choice("abcdefgh") * 3 + str(r.randrange(9)) for _ in range(r.randrange(1, 30))), "s") for i in range(40)]
+    shared = ["shared é one", "shared two"]
+    rows += [(100 + i, "\n".join([*(f"own {i} {j}" for j in range(i)), *shared, *(f"after {i} {j}" for j in range(i % 4))]), "s") for i in range(12)]
+    first, want = {}, set()
+    for i, t, _ in rows:
+        parts = t.split("\n")
+        for k, pair in enumerate(zip(parts, parts[1:])):
+            if first.setdefault(pair, (i, k)) != (i, k):
+                want |= {(i, k), (i, k + 1)}
+    docs, text = documents(spark, rows), {i: t for i, t, _ in rows}
+    got = chunks.repeated(docs)
+    found = got.collect()
+    assert {(x["id"], x["first_line"] + j) for x in found for j in range(x["lines"])} == want
+    for x in found:
+        body = text[x["id"]][x["start"] : x["end"]]
+        assert len(body.split("\n")) == x["lines"] and text[x["keep_id"]].startswith(body, x["keep_start"])
+    pairs = {(x["id"], x["first_line"]): x["n"] for x in found if x["lines"] == 2}
+    assert all(pairs[100 + i, i] == 12 for i in range(1, 12))
+    left = {line for x in lines.without(docs, got).collect() for line in x["text"].split("\n")}
+    assert {line for t in text.values() for line in t.split("\n")} <= left
+
+
 def components_by_hand(rows, k, percent):
     sets = {}
     for i, t, _ in rows:
