@@ -63,7 +63,8 @@ def cuts(sized: DataFrame, **how) -> DataFrame:
     sums. Only the range in which a source's budget ends is sorted by row, so a source
     with a third of all rows costs no more than any other. Columns: src, source_size,
     target, epochs (whole repeats of every document), cut_key/cut_id (documents before
-    it are taken once more) and part (words taken of those at it).
+    it are taken once more), part (words taken of those at it) and full: what is left of the
+    target rounds up to the whole source, so no document holds the cut and all are taken once more.
     """
     shift = bucket_shift(sized.count())
     ranged = sized.withColumn("bucket", F.shiftright("key", shift))
@@ -88,19 +89,21 @@ def cuts(sized: DataFrame, **how) -> DataFrame:
         .where((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("size") * F.col("rows")))
         .select("src", F.col("key").alias("cut_key"), F.col("id").alias("cut_id"), F.floor((F.col("rest") - F.col("start")) / F.col("rows")).cast("long").alias("part"))
     )
-    return sources.drop("rest").join(cut, "src", "left")
+    full = (F.col("source_size") > 0) & (F.col("rest") >= F.col("source_size"))
+    return sources.withColumn("full", full).drop("rest").join(cut, "src", "left")
 
 
 def _decide(sized: DataFrame, cut: DataFrame) -> DataFrame:
     """Adds what ``cut`` says; the table of cuts has a row a source, and Spark broadcasts it if it is small."""
     here, there = F.struct("key", "id"), F.struct(F.col("cut_key"), F.col("cut_id"))
     more = (
-        F.when(F.col("cut_key").isNull(), 0)
+        F.when(F.col("full"), F.col("size"))
+        .when(F.col("cut_key").isNull(), 0)
         .when(here < there, F.col("size"))
         .when((F.col("key") == F.col("cut_key")) & F.col("id").eqNullSafe(F.col("cut_id")), F.least("part", "size"))
         .otherwise(0)
     )
-    return sized.join(cut, "src").withColumn("more", more.cast("long")).withColumn("taken", F.col("epochs") * F.col("size") + F.col("more"))
+    return sized.join(cut, "src").withColumn("more", more.cast("long")).drop("full").withColumn("taken", F.col("epochs") * F.col("size") + F.col("more"))
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **how) -> DataFrame:

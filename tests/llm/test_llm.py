@@ -70,6 +70,19 @@ def test_mix_follows_budgets_and_repeats(spark):
     assert sum(len(r["text"].split()) for r in copies) == sum(r["taken"] for r in out) and copies[0].__fields__ == documents(spark, []).columns
 
 
+@pytest.mark.parametrize("sizes, epochs", [((1, 18, 25), 0), ((1, 6, 25), 1), ((2, 27, 6), 2)])
+def test_mix_takes_a_source_whole_where_the_rest_rounds_up_to_it(spark, sizes, epochs):
+    rows = [(10 * k + j, " ".join(["w"] * n), f"s{k}") for k, size in enumerate(sizes) for j, n in enumerate([size // 3, size - size // 3, 0])]
+    docs, con = documents(spark, rows), duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [list(r) for r in rows])
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, taken, epochs, target FROM ({mixing.ORACLE_SQL})").fetchall()}
+    out = mixing.mix(docs).collect()
+    assert {r["id"]: (r["taken"], r["epochs"], r["target"]) for r in out} == want
+    assert any(r["epochs"] == epochs and 0 < (epochs + 1) * r["source_size"] - r["target"] <= 0.5 and r["taken"] == (epochs + 1) * r["size"] > 0 for r in out)
+    assert sum(len(r["text"].split()) for r in mixing.mixed(docs).collect()) == sum(r["taken"] for r in out)
+
+
 @pytest.mark.parametrize("width", [32, 1])
 def test_dedup_by_brute_force_and_with_colliding_digests(spark, width):
     r = random.Random(1)
