@@ -49,7 +49,8 @@ def spans(docs: DataFrame, templates=TEMPLATES, near: int = NEAR, coverage: floa
     diagonal position minus template position, as a bit in the diagonal's mask: rows that
     repeat add nothing. Base phrases need all bits of one diagonal; other templates
     merge diagonals up to ``near`` apart and need ``coverage`` of all bits within a span of
-    at most one and a half times their length.
+    at most one and a half times their length. A wider cluster gives a span of that length from each of
+    its diagonals, so they may overlap.
     """
     spark = docs.sparkSession
     votes_for = spark.sql(f"SELECT *, xxhash64(t1, t2) AS gram FROM {_values(templates)}")
@@ -62,10 +63,16 @@ def spans(docs: DataFrame, templates=TEMPLATES, near: int = NEAR, coverage: floa
     )
     order = Window.partitionBy("id", "h", "t").orderBy("diagonal")
     apart = F.col("base") | (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(near + 1)) > near)
+    own, width = Window.partitionBy("id", "h", "t", "cluster"), F.floor(F.col("pairs") / 2)
+    wide = ~F.col("base") & (F.max("diagonal").over(own) - F.min("diagonal").over(own) > width)
+    froms = F.when(F.col("wide"), F.sequence(F.col("diagonal") - width, F.col("diagonal").cast("long"))).otherwise(F.array(F.lit(None).cast("long")))
     merged = (
         votes.withColumn("cluster", F.sum(apart.cast("int")).over(order))
-        .groupBy("id", "h", "t", "label", "base", "pairs", "cluster")
+        .withColumn("wide", wide)
+        .withColumn("from", F.explode(froms))
+        .groupBy("id", "h", "t", "label", "base", "pairs", "cluster", "from")
         .agg(F.expr("bit_or(mask)").alias("mask"), F.min("diagonal").alias("start"), F.max("diagonal").alias("last"))
+        .where("from IS NULL OR from = start")
     )
     share = F.bit_count("mask") / F.col("pairs")
     return (

@@ -267,6 +267,14 @@ def test_licenses_found_despite_edits(spark):
     assert x[2]["n_base"] == 0 and x[2]["first_word"] is None and x[2]["labels"] == "" and x[2]["score"] == 0.0
 
 
+def test_licenses_found_beside_repeats_of_their_own_words(spark):
+    tail, w = " 4 0" * 3000, "licensed under cc by nc 4 0"
+    texts = [w + " 4 0 4 0", w + tail, tail + " " + w, "licensed under cc by nc 4" + " nc 4" * 9, tail, "licensed" + " x y under cc" * 9]
+    got = {r["id"]: (r["labels"], r["score"]) for r in licenses.scan(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(3)] == [("cc-by,cc-by-nc", 1.0)] * 3
+    assert "cc-by-nc" in got[3][0].split(",") and got[4] == ("", pytest.approx(1 / 6)) and got[5] == ("", pytest.approx(1 / 6))
+
+
 def test_passages_inside_longer_lines_are_found_and_one_copy_stays(spark):
     a, b = "Of all the nine words here this one is first. ", "Then a second sentence of eleven words comes along right here. "
     rows = [
