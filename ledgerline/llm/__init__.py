@@ -21,6 +21,7 @@ def queries():
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_substring_dedup": lines.op6_substring_dedup,
+        "substring_dedup_texts": lines.substring_dedup_texts,
         "op7_line_dedup": chunks.op7_line_dedup,
         "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op9_token_counts": tokens.op9_token_counts,
@@ -35,5 +36,6 @@ def oracle_sql():
         "op1_mix": mixing.ORACLE_SQL,
         "op2_exact_dedup": dedup.ORACLE_SQL,
         "op6_substring_dedup": lines.ORACLE_SQL,
+        "substring_dedup_texts": lines.TEXTS_SQL,
         "op10_license_scan": licenses.ORACLE_SQL,
     }

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_rows, bloom_has, bloom_of, salted_lookup, stash, table
+from .common import as_rows, bloom_has, bloom_of, row_mark, salted_lookup, stash, table
 
 #: Lines in a rolling window; one boundary in so many windows; a chunk's lines at least and at most.
 WINDOW, MEAN, LEAST, MOST = 2, 3, 2, 16
@@ -64,20 +64,21 @@ def _places(text: str):
             yield place
 
 
-def _chunks(texts, ids, digest_bytes):
-    for own, text in zip(ids, texts, strict=True):
+def _chunks(texts, ids, marks, digest_bytes):
+    for own, text, mark in zip(ids, texts, marks, strict=True):
         if text and "\n" in text:
             for first, size, start, end in _places(text):
                 body = text[start:end].encode()
                 if not body.isspace() and body:
-                    yield own, first, size, start, end, hashlib.blake2b(body, digest_size=16).digest()[:digest_bytes], body
+                    yield own, mark, first, size, start, end, hashlib.blake2b(body, digest_size=16).digest()[:digest_bytes], body
 
 
-def chunks(docs: DataFrame, digest_bytes: int = 16, bloom=None, hot=None) -> DataFrame:
-    """(id, first_line, lines, start, end, digest) of every chunk and pair of lines; with ``bloom``
-    only of those that its filter has, and their bytes as ``body``."""
+def chunks(docs: DataFrame, digest_bytes: int = 16, bloom=None) -> DataFrame:
+    """(id, mark, first_line, lines, start, end, digest) of every chunk and pair of lines of ``docs`` (id, text, mark);
+    with ``bloom`` only of those that its filter has, and their bytes as ``body``."""
     fields = [T.StructField(n, T.LongType()) for n in ("first_line", "lines", "start", "end")]
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *fields, T.StructField("digest", T.BinaryType()), T.StructField("body", T.BinaryType())])
+    own = T.StructField("id", docs.schema["id"].dataType), T.StructField("mark", T.BinaryType())
+    schema = T.StructType([*own, *fields, T.StructField("digest", T.BinaryType()), T.StructField("body", T.BinaryType())])
     shared = docs.sparkSession.sparkContext.broadcast(bloom) if bloom else None
 
     def run(batches):
@@ -85,42 +86,47 @@ def chunks(docs: DataFrame, digest_bytes: int = 16, bloom=None, hot=None) -> Dat
 
         bits, whole = (shared.value[0], np.frombuffer(shared.value[1], np.uint8)) if shared else (0, None)
         for batch in batches:
-            found = _chunks(batch.column(1).to_pylist(), batch.column(0).to_pylist(), digest_bytes)
-            types = [batch.schema.field(0).type, *[pa.int64()] * 4, pa.binary(), pa.binary()]
-            for rows in itertools.batched(found if shared else ((*r[:6], None) for r in found), _BATCH):
+            ids, texts, marks = (c.to_pylist() for c in batch.columns)
+            found = _chunks(texts, ids, marks, digest_bytes)
+            types = [batch.schema.field(0).type, pa.binary(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
+            for rows in itertools.batched(found if shared else ((*r[:7], None) for r in found), _BATCH):
                 if shared and digest_bytes == 16:
-                    keep = bloom_has(whole, bits, as_rows([r[5] for r in rows], 16))
+                    keep = bloom_has(whole, bits, as_rows([r[6] for r in rows], 16))
                     rows = [r for r, k in zip(rows, keep, strict=True) if k]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def repeated(docs: DataFrame, id_col="doc_id", text_col="text", digest_bytes: int = 16) -> DataFrame:
-    """The chunks to remove: (id, first_line, lines, start, end, keep_id, keep_start, n), offsets in code points.
-
-    Digests of all chunks are grouped with partial aggregation. A filter of the repeated ones
-    (64 MB at most) picks the chunks whose bytes a second scan brings along; each is compared
-    with the first of its group by id (null last) and place, and goes only if it is equal.
-    Two whole lines in a row, unless both are blank, that stand at an earlier place as well are always
-    among them: spans overlap, and a longer run is their union. Each line of a span that goes equals a
-    line at an earlier place, so one copy of every line stays. Frequent digests are salted. Texts without a line break, null and empty ones have no chunk; rows that
-    repeat id and text share places, and both keep or lose a chunk; extra columns aren't looked at.
+    """The chunks to remove: (id, mark, first_line, lines, start, end, keep_id, keep_start, n), offsets in code points.
+
+    ``mark`` stands for a row's id and text (``row_mark``), as in ``lines.without``, which cuts these spans too. Digests of
+    all chunks are grouped with partial aggregation. A filter of the repeated ones (64 MB at most) picks the chunks
+    whose bytes a second scan brings along; each is compared with the first of its group by id (null last), mark and
+    place, and goes only if it is equal. Two whole lines in a row, unless both are blank, that stand at an earlier place as
+    well are always among them: spans overlap, and a longer run is their union. Each line of a span that goes equals a
+    line at an earlier place, so one copy of every line stays. Frequent digests are salted.
+
+    Texts without a line break, null and empty ones have no chunk; a very long text is cut whole, each chunk sixteen lines at
+    most, however long; rows that repeat id and text share places, and both keep or lose a chunk; rows that share an id, or a
+    null one, but not a text stand apart; an empty table gives no rows; extra columns aren't looked at.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = stash(chunks(docs, digest_bytes).select("id", "start", "digest"), "chunks-rows")
-    rank = F.struct(F.col("id").isNull().alias("u"), "id", "start")
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    docs = docs.select(own.alias("id"), text.alias("text"), row_mark(own, text).alias("mark"))
+    rows = stash(chunks(docs, digest_bytes).select("id", "mark", "start", "digest"), "chunks-rows")
+    rank = F.struct(F.col("id").isNull().alias("u"), "id", "mark", "start")
     groups = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    index = stash(groups.select("digest", "n", F.col("first.id").alias("keep_id"), F.col("first.start").alias("keep_start")), "chunks-index")
+    keep = F.col("first.id").alias("keep_id"), F.col("first.mark").alias("keep_mark"), F.col("first.start").alias("keep_start")
+    index = stash(groups.select("digest", "n", *keep), "chunks-index")
     bloom = bloom_of(index, "digest", index.count(), digest_bytes) if digest_bytes == 16 else (1, b"\xff")
     total = rows.count()
-    hits = stash(salted_lookup(chunks(docs, digest_bytes, bloom), index, "digest", total, ["id", "start"]), "chunks-hits")
-    first = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("start") == F.col("keep_start"))
+    hits = stash(salted_lookup(chunks(docs, digest_bytes, bloom), index, "digest", total), "chunks-hits")
+    first = (F.col("mark") == F.col("keep_mark")) & (F.col("start") == F.col("keep_start"))
     kept = hits.where(first).groupBy("digest").agg(F.min("body").alias("kept_body"), F.max("n").alias("n"))
-    others = hits.where(~first).drop("n", "_salt")
-    found = salted_lookup(others, kept, "digest", total, ["id", "start"]).where("body = kept_body")
-    return found.select("id", "first_line", "lines", "start", "end", "keep_id", "keep_start", "n")
+    found = salted_lookup(hits.where(~first).drop("n"), kept, "digest", total).where("body = kept_body")
+    return found.select("id", "mark", "first_line", "lines", "start", "end", "keep_id", "keep_start", "n")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import sys
 import tempfile
@@ -10,6 +11,7 @@ import types
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,30 +34,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """This application's folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Unset, a local master gets a temporary folder of its own (removed at exit); a
-    cluster gets a folder in the warehouse, which is shared as well.
+    Unset, a local master, whose executors are the driver, gets a temporary folder that goes at exit;
+    a cluster gets an error: its machines share no other folder that is known to be one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="scratch-")
-            atexit.register(shutil.rmtree, _local[app], True)
-        return _local[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        return f"{base.rstrip('/')}/{app}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="scratch-")
+        atexit.register(shutil.rmtree, _local[app], True)
+    return _local[app]
 
 
 def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends here,
-    and a lost executor costs a reread, not a recomputation."""
+    and a lost executor costs a reread, not a recomputation. ``release`` or ``clear`` removes the table."""
     bound_batches(df.sparkSession)
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*stashed: DataFrame) -> None:
+    """Remove tables of ``stash`` that nothing reads any more."""
+    for df in stashed:
+        _delete(df.sparkSession, df._stashed)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has stashed; call it when its results are written."""
+    _delete(spark, scratch(spark))
 
 
 def per_worker(key, make):
@@ -66,17 +85,24 @@ def per_worker(key, make):
     return store[key]
 
 
-def salted_lookup(rows: DataFrame, index: DataFrame, key: str, total: int, spread: list[str]) -> DataFrame:
-    """``rows`` with what ``index`` (one row a key, with its count ``n``) says of their key; inner.
+def salted_lookup(rows: DataFrame, index: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``index`` (one row a key, with its count ``n``) says of their key.
 
     Keys with over a thousandth of ``total`` rows, a thousand keys at most, are known to all
-    executors; their rows are dealt by a salt over ``spread``, the index rows repeated for each salt.
+    executors; their rows are dealt by a salt, row by row, the index rows repeated for each salt.
     """
     fair = max(1, -(-total // 1000))
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(fair))).cast("int")
     hot = F.broadcast(index.where(F.col("n") > fair).select(key, salts.alias("_salts")))
-    rows = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    return rows.join(index.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [key, "_salt"])
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_salts", F.lit(1))).cast("int")
+    rows = rows.join(hot, key, "left").withColumn("_salt", dealt).drop("_salts")
+    return rows.join(index.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [key, "_salt"], how).drop("_salt")
+
+
+def row_mark(own: Column, text: Column) -> Column:
+    """16 bytes that stand for a row's id, of any type or null, and its text: rows that share a mark repeat both."""
+    parts = own.isNull().cast("string"), F.coalesce(own.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(F.concat_ws(":", *parts)))
 
 
 def hash60(*parts: Column) -> Column:
@@ -131,8 +157,6 @@ def bloom_of(df: DataFrame, digest: str, entries: int, width: int, most_bytes: i
 
     What reaches the driver is the filter, ``most_bytes`` at most, never the digests.
     """
-    import pyarrow as pa
-
     bits = slice_bits(entries, most_bytes)
 
     def build(batches):
@@ -160,3 +184,17 @@ def bloom_of(df: DataFrame, digest: str, entries: int, width: int, most_bytes: i
         at = row["slice"] * bits // 8
         whole[at : at + bits // 8] |= np.frombuffer(row["bits"], np.uint8)
     return bits, whole.tobytes()
+
+
+def sifted(docs: DataFrame, mark: Column, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as (row, mark) in two parts: rows that ``marks``, a stashed table of 16-byte ``mark``s, can't hold,
+    and the rest to be looked up. Only a filter of ``marks`` goes to the executors, and no row is shuffled here."""
+    bits, body = bloom_of(marks, "mark", marks.count(), 16)
+    shared = docs.sparkSession.sparkContext.broadcast(body)
+
+    @F.arrow_udf("boolean")
+    def maybe(own: pa.Array) -> pa.Array:
+        return pa.array(bloom_has(np.frombuffer(shared.value, np.uint8), bits, as_rows(own.to_pylist(), 16)))
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mark.alias("mark")).withColumn("maybe", maybe(F.col("mark")))
+    return rows.where(~F.col("maybe")).drop("maybe"), rows.where("maybe").drop("maybe")

@@ -16,11 +16,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_rows, bloom_has, bloom_of, per_worker, salted_lookup, stash, table
+from .common import as_rows, bloom_has, bloom_of, per_worker, salted_lookup, sifted, stash, table
 from .graph import components
 
 CELL_BITS, SLICE_BITS = 23, 15
@@ -450,7 +450,7 @@ def verify(lists: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     Texts travel compressed. They are scanned again, and only rows that a filter of the needed ids has are looked at.
     """
     wanted, need = _blocked(lists)
-    ids = classes.join(need.select("key").distinct(), "key", "left_semi").select("rep_id", "rep_h", row_mark("rep_id", "rep_h").alias("mark"))
+    ids = classes.join(need.select("key").distinct(), "key", "left_semi").select("rep_id", "rep_h", id_mark(F.col("rep_id"), F.col("rep_h")).alias("mark"))
     ids = stash(ids, "jaccard-ids")
     bloom = bloom_of(ids, "mark", ids.count(), 16)
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
@@ -468,7 +468,7 @@ def verify(lists: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keys], pa.int64()), pa.array([pack(raw) for _, raw in keys], pa.binary())], names=["key", "body"])
 
-    marked = docs.select("id", "text", row_mark("id", "h").alias("mark"))
+    marked = docs.select("id", "text", id_mark(F.col("id"), F.col("h")).alias("mark"))
     sets = marked.mapInArrow(gather, "key long, body binary")
     shipped = sets.join(need, "key").select("block", F.lit(0).alias("kind"), "key", "body")
     rows = shipped.unionByName(wanted.select("block", F.lit(1).alias("kind"), "key", F.col("partners").alias("body")))
@@ -509,9 +509,9 @@ def verify(lists: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     return stash(dealt.mapInArrow(compare, "u long, v long"), "jaccard-edges")
 
 
-def row_mark(id_col: str, hash_col: str):
-    """16 bytes that stand for a row's id and text."""
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col(hash_col).cast("string"))))
+def id_mark(own: Column, h: Column) -> Column:
+    """16 bytes that stand for a row's id and text, by the 64-bit hash of the text."""
+    return F.unhex(F.md5(F.concat_ws(":", own.isNull().cast("string"), F.coalesce(own.cast("string"), F.lit("")), h.cast("string"))))
 
 
 def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -522,7 +522,8 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, pe
     ids never name a component unless it has no other. Extra columns aren't looked at; an empty
     table gives no rows. Sets are compared by 64-bit hashes of their shingles, grouped by 128 bits.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    text = F.col(f"`{text_col}`")
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
     described, slices = describe(docs, words)
     total, all_shingles = described.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     rep = F.min(F.struct(F.col("id").isNull().alias("u"), "id", "h"))
@@ -541,15 +542,16 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, pe
     rooted = classes.join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = rooted.groupBy("root").agg(F.min("rep_id").alias("component"))
     index = stash(rooted.join(named, "root").select("digest", "n", "component"), "jaccard-index")
-    some = salted_lookup(described.where("n > 0").withColumnRenamed("n", "n_shingles"), index, "digest", total, ["id", "h"])
+    some = salted_lookup(described.where("n > 0").withColumnRenamed("n", "n_shingles"), index, "digest", total)
     none = described.where("n = 0").select("id", "h", F.col("n").alias("n_shingles"), "digest", F.col("id").alias("component"))
     return some.select("id", "h", "n_shingles", "digest", "component").unionByName(none)
 
 
 def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, percent: int = 80) -> DataFrame:
     """``docs``' rows and columns, of each component of linked texts the one with the smallest
-    id (null last; then by a hash of the text). Of rows that repeat id and text one stays; texts without words all stay,
-    as do different texts of a component whose ids are all null.
+    id (null last; then by a hash of the text). Of rows that repeat id and text one stays, the first by all its
+    columns; texts without words all stay, as do different texts of a component whose ids are all null. Columns of any
+    name pass through; very long texts are compared whole; an empty table gives none.
 
     Rows that a filter of the ones to look at (64 MB at most) lacks pass without a shuffle.
     """
@@ -558,25 +560,17 @@ def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     rank = F.struct(F.col("id").isNull().alias("u"), "id", "h")
     best = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"))
     best = stash(best, "jaccard-best")
-    placed = salted_lookup(found.withColumnRenamed("n", "repeats"), best, "component", found.count(), ["id", "h"])
+    placed = salted_lookup(found.withColumnRenamed("n", "repeats"), best, "component", found.count())
     stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))
     nowhere = found.where(F.col("component").isNull()).select("id", "h", F.lit(True).alias("stays"), "n")
     found = placed.select("id", "h", stays.alias("stays"), F.col("repeats").alias("n")).unionByName(nowhere)
-    touched = stash(found.where(~F.col("stays") | (F.col("n") > 1)).select(row_mark("id", "h").alias("_mark"), "stays", "n"), "jaccard-touched")
-    bits, body = bloom_of(touched, "_mark", touched.count(), 16)
-    shared = docs.sparkSession.sparkContext.broadcast(body)
-    @F.arrow_udf("boolean")
-    def maybe(marks: pa.Array) -> pa.Array:
-        return pa.array(bloom_has(np.frombuffer(shared.value, np.uint8), bits, as_rows(marks.to_pylist(), 16)))
-
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    own = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("~")), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("string"))))
-    marked = docs.select(F.struct(*columns).alias("row"), own.alias("_mark")).withColumn("_maybe", maybe(F.col("_mark")))
-    passed = marked.where(~F.col("_maybe")).select("row.*")
-    looked = marked.where("_maybe").join(touched, "_mark", "left")
+    touched = found.where(~F.col("stays") | (F.col("n") > 1)).select(id_mark(F.col("id"), F.col("h")).alias("mark"), "stays", "n")
+    touched = stash(touched, "jaccard-touched")
+    passed, looked = sifted(docs, id_mark(F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))), touched)
+    looked = salted_lookup(looked, touched, "mark", docs.count(), "left")
     alone = looked.where("stays IS NULL").select("row.*")
-    again = looked.where("stays").groupBy("_mark").agg(F.first("row").alias("row")).select("row.*")
-    return passed.unionByName(alone).unionByName(again)
+    again = looked.where("stays").groupBy("mark").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return passed.select("row.*").unionByName(alone).unionByName(again)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,9 +49,9 @@ def targets(sources: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    size = words(F.col(text_col))
+    own, size = F.col(f"`{id_col}`"), words(F.col(f"`{text_col}`"))
     return docs.select(
-        F.col(id_col).alias("id"), _source_key(F.col(source_col)).alias("src"), size.alias("size"), hash60(F.lit("mix"), F.col(id_col), size).alias("key")
+        own.alias("id"), _source_key(F.col(f"`{source_col}`")).alias("src"), size.alias("size"), hash60(F.lit("mix"), own, size).alias("key")
     )
 
 
@@ -119,26 +119,30 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
 def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", chars_col="n_chars", **how) -> DataFrame:
     """The mix itself: ``docs``' rows and columns, each row as often as it is taken, the last
-    time cut behind the words that still fit (``chars_col``, if there, follows)."""
+    time cut behind the words that still fit (``chars_col``, if there, follows).
+
+    Null and empty texts have no words and are never taken; a null source is a source of its own; repeated rows
+    are taken alike; very long texts are cut at a word like others; columns of any name pass through; an empty
+    table gives no rows.
+    """
     cut = stash(cuts(stash(_sized(docs, id_col, text_col, source_col), "mix-sized"), **how), "mix-cuts")
-    size = words(F.col(f"row.{text_col}"))
+    text = F.col(f"row.`{text_col}`")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     whole = whole.select(
-        "row", F.col(f"row.{id_col}").alias("id"), _source_key(F.col(f"row.{source_col}")).alias("src"), size.alias("size")
+        "row", F.col(f"row.`{id_col}`").alias("id"), _source_key(F.col(f"row.`{source_col}`")).alias("src"), words(text).alias("size")
     ).withColumn("key", hash60(F.lit("mix"), F.col("id"), F.col("size")))
     copies = F.col("epochs") + (F.col("more") > 0).cast("long")
     out = _decide(whole, cut).where(copies > 0).select("row", "size", "epochs", "more", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
     partial = (F.col("copy") > F.col("epochs")) & (F.col("more") < F.col("size"))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(WORDS_KEPT), F.lit(0)), F.lit(1), F.col("more").cast("int")), "")
-    out = out.select(F.col("row.*"), F.when(partial, head).alias("_head"))
-    cols = []
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORDS_KEPT), F.lit(0)), F.lit(1), F.col("more").cast("int")), "")
+    out, cols = out.select("row", F.when(partial, head).alias("head")), []
     for c in docs.columns:
+        own = F.col(f"row.`{c}`")
         if c == text_col:
-            cols.append(F.coalesce("_head", F.col(f"`{c}`")).alias(c))
+            own = F.coalesce("head", own)
         elif c == chars_col:
-            cols.append(F.when(F.col("_head").isNotNull(), F.length("_head")).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            cols.append(F.col(f"`{c}`"))
+            own = F.when(F.col("head").isNotNull(), F.length("head")).otherwise(own).cast(docs.schema[c].dataType)
+        cols.append(own.alias(c))
     return out.select(*cols)
 
 

@@ -282,12 +282,47 @@ def test_passages_inside_longer_lines_are_found_and_one_copy_stays(spark):
         (3, (a + b).strip() + "\n" + b.upper() + "tail", None), (4, (a + b).strip(), "s"), (5, "Short one. Short one.", "s"), (None, b, "s"), (6, None, "s"),
     ]
     docs, text = documents(spark, rows), {r[0]: r[1] for r in rows}
-    got = lines.passages(docs).collect()
+    got = lines.passages(docs, min_words=lines.MIN_WORDS).collect()
     found = sorted((r["id"] is None, r["id"] or 0, r["kind"], " ".join(text[r["id"]][r["start"] : r["end"]].lower().split())) for r in got)
     second = b.lower().strip()
     assert found == [
         (False, 2, "sentence", second), (False, 3, "sentence", second), (False, 3, "sentence", second),
         (False, 4, "line", (a + b).lower().strip()), (True, 0, "sentence", second),
     ]
-    left = " ".join(r["text"] or "" for r in lines.without(docs, lines.passages(docs)).collect()).lower()
+    left = " ".join(r["text"] or "" for r in lines.without(docs, lines.passages(docs, min_words=lines.MIN_WORDS)).collect()).lower()
     assert left.count(second) == 1
+
+
+def test_rows_that_share_an_id_or_have_none_keep_their_own_spans(spark):
+    line = "this line of eleven words stands in more than one text"
+    rows = [
+        (None, f"{line}\nalpha beta gamma", None), (None, "nothing here repeats, nothing at all is lost from it", None), (None, line, "s"),
+        (2, f"own head\n{line}", "s"), (2, "a second text under the same id, of which nothing repeats", "s"), (1, f"x\n{line}", "s"), (2, f"own head\n{line}", "s"),
+    ]
+    docs = documents(spark, rows).withColumn("_id", F.lit(1)).withColumn("_spans", F.lit(2)).withColumn("mark", F.lit(3)).withColumn("row", F.lit(4))
+    want = [
+        "\nalpha beta gamma", "nothing here repeats, nothing at all is lost from it", "", "own head\n", "a second text under the same id, of which nothing repeats", f"x\n{line}", "own head\n",
+    ]
+    got = lines.without(docs, lines.repeated(docs, min_words=3))
+    assert got.columns == docs.columns and sorted(r["text"] for r in got.collect()) == sorted(["own head\n" if "own head" in t else t for t in want])
+    # the same places in different texts of one id, and of null ids
+    pairs = [(7, "one two\nthree\nfour", "s"), (7, "one two\nthree\nfive", "s"), (None, "one two\nthree\nsix", "s"), (None, "one two\nthree\nseven", "s")]
+    for op in (lines.repeated, chunks.repeated):
+        left = [r["text"] for r in lines.without(documents(spark, pairs), op(documents(spark, pairs))).collect()]
+        assert sum("one two\nthree" in t for t in left) == 1 and {t.split("\n")[-1] for t in left} == {"four", "five", "six", "seven"}
+
+
+def test_short_lines_are_units_unless_told_otherwise(spark):
+    docs = documents(spark, [(i, "just nine words stand here in this very line", "s") for i in range(50)])
+    assert lines.repeated(docs).count() == 49 and lines.repeated(docs, min_words=10).count() == 0
+    assert sorted(len(r["text"]) for r in lines.without(docs, lines.repeated(docs)).collect())[-2:] == [0, 44]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = documents(spark, EDGES)
+    for name in ("head", "_head", "row", "mark", "copy", "more", "epochs", "key", "id", "h", "spans", "start", "item", "words", "u.v"):
+        docs = docs.withColumn(name, F.lit(5))
+    bench = spark.createDataFrame([(1, "nowhere to be seen")], "item_id long, text string")
+    for got in (mixing.mixed(docs), sharding.assign(docs, shard_col="s"), decontaminate.clean(docs, bench), lines.without(docs, lines.repeated(docs)), jaccard.one_of_each(docs)):
+        rows = got.collect()
+        assert got.columns[: len(docs.columns)] == docs.columns and rows and all(r["head"] == r["u.v"] == 5 for r in rows)
