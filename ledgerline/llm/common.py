@@ -85,15 +85,16 @@ def per_worker(key, make):
     return store[key]
 
 
-def salted_lookup(rows: DataFrame, index: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` with what ``index`` (one row a key, with its count ``n``) says of their key.
+def salted_lookup(rows: DataFrame, index: DataFrame, key: str, total: int, how: str = "inner", many: bool = False) -> DataFrame:
+    """``rows`` with what ``index`` (one row a key, or ``many``, with its count ``n`` of rows) says of their key.
 
     Keys with over a thousandth of ``total`` rows, a thousand keys at most, are known to all
     executors; their rows are dealt by a salt, row by row, the index rows repeated for each salt.
     """
     fair = max(1, -(-total // 1000))
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(fair))).cast("int")
-    hot = F.broadcast(index.where(F.col("n") > fair).select(key, salts.alias("_salts")))
+    hot = index.where(F.col("n") > fair).select(key, salts.alias("_salts"))
+    hot = F.broadcast(hot.distinct() if many else hot)
     dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_salts", F.lit(1))).cast("int")
     rows = rows.join(hot, key, "left").withColumn("_salt", dealt).drop("_salts")
     return rows.join(index.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [key, "_salt"], how).drop("_salt")
@@ -121,6 +122,68 @@ def null_last(col: Column) -> list[Column]:
     return [col.isNull().cast("int"), col]
 
 
+_ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    x = x + np.uint64((_ODD[0] * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(_ODD[1])
+    x = (x ^ x >> np.uint64(27)) * np.uint64(_ODD[2])
+    return x ^ x >> np.uint64(31)
+
+
+def _tables():
+    """Random values of bytes (A-Z as a-z), powers of an odd base, and which bytes part words."""
+    byte = mix64(np.arange(256, dtype=np.uint64), 7)
+    byte[65:91] = byte[97:123]
+    power = np.cumprod(np.append(np.uint64(1), np.full(65_535, _ODD[1], np.uint64)))
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    return byte, power, space
+
+
+def _pieces(raws: list[bytes], most: int = 1 << 18):
+    """Runs of texts of about ``most`` bytes together."""
+    first, size = 0, 0
+    for i, raw in enumerate(raws):
+        if size and size + len(raw) > most:
+            yield raws[first:i]
+            first, size = i, 0
+        size += len(raw)
+    if first < len(raws):
+        yield raws[first:]
+
+
+def word_hashes(raws: list[bytes]):
+    """For some texts at a time, the 64-bit hashes of all their words, and the bounds of each text's words among them.
+
+    A word's hash is the sum of its bytes' random values times powers of a base by place, mixed with its length.
+    """
+    byte, power, space = per_worker("word-tables", _tables)
+    for texts in _pieces(raws):
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        gap = space[data]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if not gap[0]:
+            edge = np.append(0, edge)
+        starts, ends = edge[0::2], edge[1::2]
+        lens = ends - starts
+        inside = np.flatnonzero(~gap)
+        place = (inside - np.repeat(starts, lens)) & 0xFFFF
+        offsets = np.append(0, np.cumsum(lens))[:-1]
+        words = np.add.reduceat(byte[data[inside]] * power[place], offsets) if len(starts) else np.zeros(0, np.uint64)
+        yield mix64(words ^ lens.astype(np.uint64)), np.searchsorted(starts, np.append(0, np.cumsum([len(t) + 1 for t in texts]))).tolist()
+
+
+def shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every run of ``k`` words."""
+    folded = np.full(max(len(words) - k + 1, 0), k, np.uint64)
+    for i in range(k if len(folded) else 0):
+        folded = folded * np.uint64(_ODD[0]) + words[i : i + len(folded)]
+        folded ^= folded >> np.uint64(29)
+    return mix64(folded)
+
+
 # A Bloom filter cut into slices by the digest's first two bytes, so that it can be
 # built by many tasks, each holding one slice.  Its size is bounded, whatever it holds.
 SLICES, PROBES = 256, 5
@@ -132,28 +195,35 @@ def slice_bits(entries: int, most_bytes: int = 1 << 26) -> int:
     return min(1 << (want - 1).bit_length(), most_bytes * 8 // SLICES)
 
 
-def bloom_places(digests: np.ndarray, bits: int) -> np.ndarray:
+def bloom_places(digests: np.ndarray, bits: int, probes: int = PROBES) -> np.ndarray:
     """Positions of each digest (rows of 16 bytes or more) within the whole filter."""
     words = np.ascontiguousarray(digests[:, :16]).view("<u4").reshape(len(digests), 4).astype(np.uint64)
     a, b = words[:, 1], words[:, 2] | np.uint64(1)
-    steps = np.arange(PROBES, dtype=np.uint64)
+    steps = np.arange(probes, dtype=np.uint64)
     inside = (a[:, None] + steps[None, :] * b[:, None] + (words[:, 3] * np.uint64(0x9E3779B1))[:, None]) % np.uint64(bits)
     return inside + (digests[:, 0].astype(np.uint64) * np.uint64(bits))[:, None]
 
 
 def bloom_has(bloom: np.ndarray, bits: int, digests: np.ndarray) -> np.ndarray:
-    if not len(digests):
-        return np.zeros(0, bool)
-    at = bloom_places(digests, bits)
-    return ((bloom[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+    out = np.zeros(len(digests), bool)
+    first = bloom_places(digests, bits, 1)[:, 0]  # most of what a filter lacks goes here
+    some = np.flatnonzero((bloom[first >> np.uint64(3)] >> (first & np.uint64(7)).astype(np.uint8)) & 1)
+    at = bloom_places(digests[some], bits)
+    out[some] = ((bloom[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+    return out
 
 
 def as_rows(digests: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint8).reshape(len(digests), width)
 
 
+def long_rows(hashes: np.ndarray) -> np.ndarray:
+    """64-bit hashes as the digests that a filter takes; the first byte is the hash's highest."""
+    return np.ascontiguousarray(np.stack([hashes.astype(">u8").view(np.uint64), mix64(hashes)], axis=1)).view(np.uint8)
+
+
 def bloom_of(df: DataFrame, digest: str, entries: int, width: int, most_bytes: int = 1 << 26):
-    """The filter of ``df``'s digests as (bits of a slice, bytes), built in slices on the executors.
+    """The filter of ``df``'s digests as (bits of a slice, bytes), built in slices on the executors; width 8: of longs.
 
     What reaches the driver is the filter, ``most_bytes`` at most, never the digests.
     """
@@ -169,7 +239,7 @@ def bloom_of(df: DataFrame, digest: str, entries: int, width: int, most_bytes: i
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = as_rows(batch.column(0).to_pylist(), width)
+            rows = long_rows(batch.column(0).to_numpy().view(np.uint64)) if width == 8 else as_rows(batch.column(0).to_pylist(), width)
             at, of = bloom_places(rows, bits), rows[:, 0]
             for k in np.unique(of):
                 own = open_slices.setdefault(int(k), np.zeros(bits // 8, np.uint8))
@@ -179,7 +249,8 @@ def bloom_of(df: DataFrame, digest: str, entries: int, width: int, most_bytes: i
             yield out(sorted(open_slices))
 
     whole = np.zeros(SLICES * bits // 8, np.uint8)
-    dealt = df.select(digest).repartition(F.substring(digest, 1, 1))  # a slice meets in one task
+    slices = F.shiftrightunsigned(digest, 56) if width == 8 else F.substring(digest, 1, 1)
+    dealt = df.select(digest).repartition(slices)  # a slice meets in one task
     for row in dealt.mapInArrow(build, "slice int, bits binary").collect():
         at = row["slice"] * bits // 8
         whole[at : at + bits // 8] |= np.frombuffer(row["bits"], np.uint8)

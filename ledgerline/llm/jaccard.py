@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_rows, bloom_has, bloom_of, per_worker, salted_lookup, sifted, stash, table
+from .common import as_rows, bloom_has, bloom_of, mix64, salted_lookup, shingles, sifted, stash, table, word_hashes
 from .graph import components
 
 CELL_BITS, SLICE_BITS = 23, 15
@@ -28,76 +28,20 @@ CELL_BITS, SLICE_BITS = 23, 15
 CROWD = 64
 #: Sets of a crowd that all others of it are compared with in the first round.
 HUBS = 2
-_ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    x = x + np.uint64((_ODD[0] * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(_ODD[1])
-    x = (x ^ x >> np.uint64(27)) * np.uint64(_ODD[2])
-    return x ^ x >> np.uint64(31)
-
-
-def _tables():
-    """Random values of bytes (A-Z as a-z), powers of an odd base, and which bytes part words."""
-    byte = _mix(np.arange(256, dtype=np.uint64), 7)
-    byte[65:91] = byte[97:123]
-    power = np.cumprod(np.append(np.uint64(1), np.full(65_535, _ODD[1], np.uint64)))
-    space = np.zeros(256, bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    return byte, power, space
-
-
-def _pieces(raws: list[bytes], most: int = 1 << 18):
-    """Runs of texts of about ``most`` bytes together."""
-    first, size = 0, 0
-    for i, raw in enumerate(raws):
-        if size and size + len(raw) > most:
-            yield raws[first:i]
-            first, size = i, 0
-        size += len(raw)
-    if first < len(raws):
-        yield raws[first:]
-
 
 def shingle_sets(raws: list[bytes], k: int):
     """For each text, the sorted 64-bit hashes of its distinct k-word shingles; fewer words make one of all of them.
 
-    A word's hash is the sum of its bytes' random values times powers of a base by place,
-    mixed with its length; a shingle folds the hashes of its words. All in NumPy, many texts at a time.
+    All in NumPy, many texts at a time.
     """
-    byte, power, space = per_worker("shingle-tables", _tables)
-    for texts in _pieces(raws):
-        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        gap = space[data]
-        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-        if not gap[0]:
-            edge = np.append(0, edge)
-        starts, ends = edge[0::2], edge[1::2]
-        lens = ends - starts
-        inside = np.flatnonzero(~gap)
-        place = (inside - np.repeat(starts, lens)) & 0xFFFF
-        offsets = np.append(0, np.cumsum(lens))[:-1]
-        words = np.add.reduceat(byte[data[inside]] * power[place], offsets) if len(starts) else np.zeros(0, np.uint64)
-        words = _mix(words ^ lens.astype(np.uint64))
-        bounds = np.searchsorted(starts, np.append(0, np.cumsum([len(t) + 1 for t in texts])))
-        folded = np.full(max(len(words) - k + 1, 0), k, np.uint64)
-        for i in range(k if len(folded) else 0):
-            folded = folded * np.uint64(_ODD[0]) + words[i : i + len(folded)]
-            folded ^= folded >> np.uint64(29)
-        folded = _mix(folded)
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+    for words, bounds in word_hashes(raws):
+        folded = shingles(words, k)
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             if hi - lo >= k:
                 out = np.sort(folded[lo : hi - k + 1])
                 yield out[np.append(True, out[1:] != out[:-1])]
-            elif hi == lo:
-                yield np.zeros(0, np.uint64)
             else:
-                one = np.full(1, hi - lo, np.uint64)
-                for w in words[lo:hi]:
-                    one = one * np.uint64(_ODD[0]) + w
-                    one ^= one >> np.uint64(29)
-                yield _mix(one)
+                yield shingles(words[lo:hi], hi - lo) if hi > lo else np.zeros(0, np.uint64)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -222,7 +166,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, levels: bytes, hot: dict) ->
                 p = prefix_size(n, percent)
                 high = level[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(59)
                 for order in (0, 1):
-                    rank = high | _mix(s, order + 1) >> np.uint64(5)
+                    rank = high | mix64(s, order + 1) >> np.uint64(5)
                     first = s[np.argpartition(rank, p - 1)[:p]] if p < n else s
                     tokens.append(first & np.uint64(0xFFFFFFFFFFFFFFFE) | np.uint64(order))
                     keys.append(_key(digest))

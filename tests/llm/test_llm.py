@@ -112,31 +112,98 @@ def test_decontamination_catches_reordered_passages(spark):
     item = " ".join(f"w{i}" for i in range(30))
     w = item.split()
     moved = "x " + " ".join(w[20:]) + " y " + " ".join(w[:20]).upper() + ", z"
-    docs = documents(spark, [(1, moved, "s"), (2, " ".join(w[:12]), "s"), (3, " ".join(w[::-1]), "s"), (4, f"q {item}", "s"), (5, "of " * 500, "s"), (6, "tiny item", "s")])
-    bench = spark.createDataFrame([(7, item), (8, "tiny item"), (9, "of of of of of of of")], "item_id long, text string")
-    for most in (10, 10_000):
-        got = {(r["id"], r["item_id"]): (r["covered"], r["tiles"]) for r in decontaminate.contaminated(docs, bench, most_words=most).collect()}
-        assert got == {(1, 7): (30, 2), (4, 7): (30, 1), (5, 9): (7, 1), (6, 8): (2, 1)}
+    docs = documents(spark, [(1, moved, "s"), (2, " ".join(w[:12]), "s"), (3, " ".join(w[::-1]), "s"), (4, f"q {item}", "s"), (5, "of " * 500, "s"), (6, "tiny item", "s"), (4, f"q {item}", "s"), (None, item, "s")])
+    bench = spark.createDataFrame([("g", item), ("h", "tiny item"), ("i", "of of of of of of of"), (None, f"{item}."), ("f", item.upper()), ("n", None), ("e", " ")], "item_id string, text string")
+    got = sorted((r["id"] or 0, r["item_id"], r["items"], r["covered"], r["tiles"]) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == [(0, "f", 3, 30, 1), (1, "f", 3, 30, 2), (4, "f", 3, 30, 1), (4, "f", 3, 30, 1), (5, "i", 1, 7, 1), (6, "h", 1, 2, 1)]
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {2, 3}
+    for a, b in ((docs.where("1 = 0"), bench), (docs, bench.where("1 = 0"))):
+        assert decontaminate.contaminated(a, b).collect() == [] and decontaminate.clean(a, b).count() == a.count()
+
+
+def tiles_by_hand(doc, item, least):
+    """Greedy string tiling as it is defined: every unmarked match is looked at, the longest taken, first by place in the item."""
+    taken, out = (set(), set()), []
+    while True:
+        best = None
+        for b in range(len(item)):
+            for a in range(len(doc)):
+                n = 0
+                while a + n < len(doc) and b + n < len(item) and doc[a + n] == item[b + n] and a + n not in taken[0] and b + n not in taken[1]:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = (a, b, n)
+        if best is None:
+            return out
+        out.append(best)
+        for side, at in enumerate(best[:2]):
+            taken[side].update(range(at, at + best[2]))
+
+
+def test_tiles_by_brute_force():
+    import numpy as np
 
-
-def test_tiles_do_not_overlap():
     r = random.Random(2)
-    for _ in range(50):
-        a, b = ([r.randrange(3) for _ in range(n)] for n in (30, 20))
-        pairs = [(i, j) for i in range(28) for j in range(18) if a[i : i + 3] == b[j : j + 3]]
-        if pairs:
-            import numpy as np
-
-            i, j = (np.array(x) for x in zip(*pairs))
-            marked = [set(), set()]
-            tiles = decontaminate.tile(i, j, 3)
-            assert [t[2] for t in tiles] == sorted((t[2] for t in tiles), reverse=True)
-            for x, y, n in tiles:
-                assert a[x : x + n] == b[y : y + n] and n >= 3
-                for side, at in enumerate((x, y)):
-                    assert not marked[side] & set(range(at, at + n))
-                    marked[side] |= set(range(at, at + n))
+    for n in range(150):
+        a, b = ([r.randrange(1, 2 + n % 5) for _ in range(r.randrange(40))] for _ in range(2))
+        if n % 3 == 0 and len(b) > 6:
+            a += b[len(b) // 2 :] + b[: len(b) // 2]
+        assert decontaminate.tile(np.array(a, np.int64), np.array(b, np.int64), 3) == tiles_by_hand(a, b, 3)
+    one = decontaminate.Text([b"the"] * 300_000)  # in proportion to both, not to their matches
+    assert one.match([b"the"] * 4000) == (4000, 1, 4000)
+
+
+def test_decontamination_by_brute_force(spark):
+    r = random.Random(11)
+    common = [f"c{i}" for i in range(8)]  # an opening that all items share
+    items = [(i, " ".join(common + [f"v{r.randrange(60)}" for _ in range(r.choice([1, 3, 9, 20, 30]))])) for i in range(25)] + [(90, "c1 c2"), (91, " ".join(common[:6]))]
+    rows = []
+    for i in range(80):
+        w = [f"v{r.randrange(60)}" for _ in range(20)]
+        for _ in range(r.randrange(3)):
+            own = r.choice(items)[1].split()
+            lo = r.randrange(len(own))
+            at = r.randrange(len(w))
+            w[at:at] = own[lo : lo + r.choice([6, 12, 40])]
+        rows.append((i, " ".join(w), "s"))
+    want = {}
+    for i, t, _ in rows:
+        for k, own in items:
+            n, found = len(own.split()), tiles_by_hand(t.split(), own.split(), min(5, len(own.split())))
+            if sum(x[2] for x in found) >= 0.5 * n:
+                want[i, k] = (n, sum(x[2] for x in found), len(found), max(x[2] for x in found))
+    got = decontaminate.contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["id"], x["item_id"]): (x["item_words"], x["covered"], x["tiles"], x["longest"]) for x in got} == want and len(want) > 20
+
+
+ALONE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+def found(batches):
+    import importlib.util, pyarrow as pa
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({{"n": [int(importlib.util.find_spec("ledgerline") is not None)]}})
+assert spark.range(1).mapInArrow(found, "n long").first()[0] == 0  # the workers have no copy of the package
+from ledgerline.llm import chunks, decontaminate, dedup, jaccard, lines
+docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (3, "x y")], "doc_id long, text string")
+bench = spark.createDataFrame([(7, "one two three four five six")], "item_id long, text string")
+print("ROWS", [decontaminate.contaminated(docs, bench).count(), decontaminate.clean(docs, bench).count(), jaccard.one_of_each(docs).count(), lines.without(docs, lines.repeated(docs)).count(), chunks.repeated(docs).count(), dedup.dedup(docs).count()])
+"""
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    (tmp_path / "alone.py").write_text(ALONE.format(repo=repo))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "alone.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "ROWS [2, 1, 2, 3, 0, 3]" in out.stdout, out.stderr[-2000:]
 
 
 def test_toxicity_learns_sentences_from_document_labels(spark):
@@ -326,3 +393,16 @@ def test_columns_of_any_name_pass_through(spark):
     for got in (mixing.mixed(docs), sharding.assign(docs, shard_col="s"), decontaminate.clean(docs, bench), lines.without(docs, lines.repeated(docs)), jaccard.one_of_each(docs)):
         rows = got.collect()
         assert got.columns[: len(docs.columns)] == docs.columns and rows and all(r["head"] == r["u.v"] == 5 for r in rows)
+
+
+def test_matches_of_single_pairs_by_brute_force():
+    r = random.Random(12)
+    for n in range(300):
+        item = [f"v{r.randrange(5 + n % 30)}".encode() for _ in range(r.randrange(1, 25))]
+        own = [f"v{r.randrange(5 + n % 30)}".encode() for _ in range(r.randrange(1, 40))]
+        lo = r.randrange(len(item))
+        own[len(own) // 2 : len(own) // 2] = item[lo:] + own[:2] + item[:lo]
+        tiles = tiles_by_hand(own, item, min(4, len(item)))
+        covered = sum(t[2] for t in tiles)
+        want = (covered, len(tiles), tiles[0][2]) if tiles and covered >= 0.6 * len(item) else None
+        assert decontaminate.Text(own).match(item, 4, 0.6) == want
