@@ -54,17 +54,31 @@ def canon(col: Column, kind: T.DataType, p: int = PRECISION) -> Column:
     return col.cast("string")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_hash(df: DataFrame, columns: list[str], p: int = PRECISION) -> Column:
     """The first 60 bits of the MD5 of the columns' canonical texts, in the order given."""
-    texts = [F.coalesce(canon(F.col(f"`{c}`"), df.schema[c].dataType, p), F.lit(NULL)) for c in columns]
+    texts = [F.coalesce(canon(column(c), df.schema[c].dataType, p), F.lit(NULL)) for c in columns]
     digest = F.md5(F.concat_ws(SEPARATOR, *texts))
     return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("long")
 
 
-def modulo(total: Column) -> Column:
+def hash_parts(name: str) -> list[Column]:
+    """Three parts of 20 bits, whose sums are longs for up to 2**43 rows: no decimal is added row by row."""
+    low = F.lit((1 << 20) - 1)
+    return [F.shiftright(name, 40), F.shiftright(name, 20).bitwiseAND(low), F.col(name).bitwiseAND(low)]
+
+
+def hash_total(*sums: Column | str) -> Column:
+    """The sums of the parts as one sum modulo 2**63."""
+    wide = [(F.col(x) if isinstance(x, str) else x).cast("decimal(38,0)") for x in sums]
+    total = wide[0] * F.lit(1 << 40).cast("decimal(13,0)") + wide[1] * F.lit(1 << 20).cast("decimal(7,0)") + wide[2]
     return F.pmod(total, F.lit(MODULUS).cast("decimal(20,0)")).cast("long")
 
 
 def hash_sum(name: str) -> Column:
-    """Sum of hashes modulo 2**63, in any order; 0 for no rows. Decimals keep the sum from overflowing."""
-    return F.coalesce(modulo(F.sum(F.col(name).cast("decimal(20,0)"))), F.lit(0).cast("long"))
+    """Sum of hashes modulo 2**63, in any order; 0 for no rows."""
+    return F.coalesce(hash_total(*(F.sum(part) for part in hash_parts(name))), F.lit(0).cast("long"))

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canon import column
+
+
+def _known(df: DataFrame, pk: list[str]) -> DataFrame:
+    """(key) as a struct, of rows whose key has no null part."""
+    keys = df.select(F.struct(*(column(c).alias(c) for c in pk)).alias("key"))
+    for c in pk:
+        keys = keys.where(F.col("key").getField(c).isNotNull())
+    return keys
+
 
 def pk_bounds(df: DataFrame, pk: list[str]) -> tuple[tuple, tuple] | None:
     """The smallest and largest key, both inclusive, in one pass; None without rows. Rows with a null key part don't count."""
-    key = F.struct(*pk)
-    row = df.dropna(subset=pk).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    row = _known(df, pk).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
     return None if row["lo"] is None else (tuple(row["lo"]), tuple(row["hi"]))
 
 
@@ -29,28 +38,23 @@ def child(place: Column, lo: Column, hi: Column, fanout: int, wide: bool = False
     return (lo + edge(i)).cast("long"), (lo + edge(i + 1)).cast("long")
 
 
-def ranked(keys: DataFrame, pk: list[str]) -> DataFrame:
-    """``keys`` with ``rank``, from 0, in key order: a range sort whose partitions number their own
-    rows; only partition sizes reach the driver, never all rows one task."""
-    placed = keys.orderBy(*pk).withColumn("_id", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("_id", 33)
-    before, starts = 0, []
-    for row in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
-        starts.append((row["part"], before))
-        before += row["count"]
-    table = placed.sparkSession.createDataFrame(starts, "_part long, _start long")
-    inner = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("_part", part).join(F.broadcast(table), "_part").withColumn("rank", F.col("_start") + inner).drop("_id", "_part", "_start")
-
-
 def split_points(df: DataFrame, pk: list[str], n: int) -> DataFrame:
     """At most n - 1 interior keys, increasing, that part the rows into n nearly equal runs: those of
-    rank total * i // n, but for the smallest key."""
-    keys = df.select(*pk).dropna()
-    total = keys.count()
-    wanted = sorted({total * i // n for i in range(1, n)})
-    lowest = keys.agg(F.min(F.struct(*pk)).alias("k")).first()["k"]
-    if lowest is None:
-        return keys
-    above = F.struct(*pk) > F.struct(*[F.lit(v).alias(c) for c, v in zip(pk, lowest)])
-    return ranked(keys, pk).where(F.col("rank").isin(wanted) & above).select(*pk).distinct().orderBy(*pk)
+    rank total * i // n, but for the smallest key.
+
+    Keys are range-sorted; each range numbers its own rows, and only the ranges' sizes and the points reach the driver.
+    """
+    keys = _known(df, pk).orderBy("key").withColumn("at", F.monotonically_increasing_id()).persist()
+    part, sizes = F.shiftright("at", 33), []
+    for r in keys.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).orderBy("part").collect():
+        sizes.append((r["part"], r["n"], r["least"]))
+    total, before, wanted = sum(size for _, size, _ in sizes), 0, []
+    ranks = sorted({total * i // n for i in range(1, n)})
+    for k, size, _ in sizes:
+        wanted += [(k << 33) + rank - before for rank in ranks if before <= rank < before + size]
+        before += size
+    lowest = sizes[0][2] if sizes else None
+    found = {r["key"] for r in keys.where(F.col("at").isin(wanted)).select("key").collect()} - {lowest} if wanted else set()
+    keys.unpersist()
+    schema = df.select(*map(column, pk)).schema
+    return df.sparkSession.createDataFrame(sorted(map(tuple, found)), schema)

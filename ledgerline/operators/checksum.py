@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canon import PRECISION, hash_sum, row_hash
+from ..functions.canon import PRECISION, column, hash_sum, row_hash
 
 
 def hashed(df: DataFrame, pk: list[str], compare: list[str], p: int = PRECISION) -> DataFrame:
     """(pk..., row_hash); rows with a null key part are left out."""
-    return df.dropna(subset=pk).select(*pk, row_hash(df, [*pk, *compare], p).alias("row_hash"))
+    whole = functools.reduce(operator.and_, (column(c).isNotNull() for c in pk))
+    return df.where(whole).select(*map(column, pk), row_hash(df, [*pk, *compare], p).alias("row_hash"))
 
 
 def checksum(rows: DataFrame, *by: str) -> DataFrame:
     """(by..., rows, checksum) of hashed rows: one partial and one final aggregation."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), hash_sum("row_hash").alias("checksum"))
-
-
-def unique(rows: DataFrame, pk: list[str]) -> DataFrame:
-    """One hash a key: the largest, so that the choice doesn't hang on the order of rows."""
-    return rows.groupBy(*pk).agg(F.max("row_hash").alias("row_hash"))
+    return rows.groupBy(*map(column, by)).agg(F.count(F.lit(1)).alias("rows"), hash_sum("row_hash").alias("checksum"))

@@ -1,32 +1,54 @@
-"""Which keys differ, by one join or by segments that agree being left alone."""
+"""Which keys differ, by one pass over both sides or by segments that agree being left alone."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+import math
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canon import modulo
-from .bounds import boundaries, child, pk_bounds, ranked
-from .checksum import unique
+from ..functions.canon import column, hash_parts, hash_total
+from .bounds import child
 
 MISSING, EXTRA, CHANGED = KINDS = ("missing", "extra", "changed")
 
 
+def _sides(source: DataFrame, target: DataFrame, pk: list[str]) -> DataFrame:
+    """Hashed rows of both sides in one table: (key, row_hash, side); ``key`` is a struct, so its parts may have any name."""
+    key = F.struct(*(column(c).alias(c) for c in pk)).alias("key")
+    return source.select(key, "row_hash", F.lit(0).alias("side")).unionByName(target.select(key, "row_hash", F.lit(1).alias("side")))
+
+
+def _largest(side: int) -> Column:
+    return F.max(F.when(F.col("side") == side, F.col("row_hash"))).alias(f"m{side}")
+
+
+def _judged(keys: DataFrame) -> DataFrame:
+    """(key, kind) of keys with each side's hash, kind null where both agree."""
+    kind = F.when(F.col("m1").isNull(), MISSING).when(F.col("m0").isNull(), EXTRA).when(F.col("m0") != F.col("m1"), CHANGED)
+    return keys.select("key", kind.alias("kind"))
+
+
 def matched(source: DataFrame, target: DataFrame, pk: list[str]) -> DataFrame:
-    """Full outer join of hashed rows by key: (pk..., kind), kind null where both agree."""
-    a = unique(source, pk).withColumnRenamed("row_hash", "_a")
-    b = unique(target, pk).withColumnRenamed("row_hash", "_b")
-    kind = F.when(F.col("_b").isNull(), MISSING).when(F.col("_a").isNull(), EXTRA).when(F.col("_a") != F.col("_b"), CHANGED)
-    return a.join(b, pk, "full_outer").select(*pk, kind.alias("kind"))
+    """Both sides' keys with their kind of drift: (pk..., kind), kind null where both agree.
+
+    One aggregation of both sides together, so repeated keys shrink before the only shuffle and no join is
+    needed. Of a key's rows the largest hash speaks for it, so that the choice doesn't hang on their order.
+    """
+    return _judged(_sides(source, target, pk).groupBy("key").agg(_largest(0), _largest(1))).select("key.*", "kind")
+
+
+def settled_keys(found: DataFrame, pk: list[str], in_flight: DataFrame | None) -> DataFrame:
+    """``found`` without the keys in flight."""
+    return found if in_flight is None else found.join(in_flight.distinct(), pk, "left_anti")
 
 
 def diff(source: DataFrame, target: DataFrame, pk: list[str], in_flight: DataFrame | None = None) -> DataFrame:
     """(pk..., kind) of the keys that differ; keys in flight are left out."""
-    out = matched(source, target, pk).where(F.col("kind").isNotNull())
-    return out if in_flight is None else out.join(in_flight.distinct(), pk, "left_anti")
+    return settled_keys(matched(source, target, pk).where(F.col("kind").isNotNull()), pk, in_flight)
 
 
 @dataclass
@@ -34,63 +56,127 @@ class Walk:
     drift: DataFrame
     rows_compared: int
     segments_scanned: int
+    kept: list[DataFrame] = field(default_factory=list)  # persisted; to be released with the report
+
+
+def joined(source: DataFrame, target: DataFrame, pk: list[str], in_flight: DataFrame | None = None) -> Walk:
+    found = settled_keys(matched(source, target, pk), pk, in_flight).persist()
+    return Walk(found.where("kind IS NOT NULL"), found.count(), 1, [found])
 
 
-def _integral(df: DataFrame, pk: list[str]) -> bool:
-    return len(pk) == 1 and isinstance(df.schema[pk[0]].dataType, T.IntegralType)
+def _weights(side: int) -> list[Column]:
+    own = F.col("side") == side
+    sums = [F.coalesce(F.sum(F.when(own, part)), F.lit(0)).alias(f"{name}{side}") for name, part in zip("abc", hash_parts("row_hash"), strict=True)]
+    return [F.count(F.when(own, 1)).alias(f"n{side}"), *sums]
 
 
-def _placed(source: DataFrame, target: DataFrame, pk: list[str]) -> tuple[DataFrame, DataFrame, int, int]:
-    """Both sides with an integer ``place``: the key itself, or else how many source rows lie at
-    or before it, less one. Equal parts of places are equal ranges of keys, or of source rows."""
-    if _integral(source, pk):
-        (a, b), (c, d) = pk_bounds(source, pk), pk_bounds(target, pk)
-        own = F.col(f"`{pk[0]}`").cast("long")
-        return source.withColumn("place", own), target.withColumn("place", own), min(a[0], c[0]), max(b[0], d[0]) + 1
-    keys = ranked(source.select(*pk), pk)
-    first = keys.groupBy(*pk).agg(F.min("rank").alias("place"))
-    a = source.join(first, pk)
-    both = target.select(*pk).distinct().join(first, pk, "left_anti").withColumn("_own", F.lit(0))
-    every = ranked(first.select(*pk).withColumn("_own", F.lit(1)).unionByName(both), pk)
-    # the rank among all distinct keys, less what only the target has before it
-    extra = ranked(both.select(*pk), pk).withColumnRenamed("rank", "_extra")
-    among = every.where("_own = 0").join(extra, pk).select(*pk, F.greatest(F.col("rank") - F.col("_extra") - 1, F.lit(0)).alias("_distinct"))
-    order = ranked(first.select(*pk), pk).withColumnRenamed("rank", "_distinct").join(first, pk).select("_distinct", "place")
-    between = among.join(order, "_distinct").select(*pk, "place")
-    return a, target.join(first.unionByName(between), pk), 0, source.count()
+SUMS = [f"{name}{side}" for side in (0, 1) for name in "nabc"]
+
+
+def _ordered(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(place, key, m0, m1, sums...) of every key, the frame kept for it, and the source's number of rows.
+
+    ``place``: how many source rows lie before the key; a key that only the target has goes by the last source key before
+    it. So equal runs of places are equal runs of source rows. Keys are range-sorted once and numbered
+    range by range; the driver sees a row a range.
+    """
+    keys = rows.groupBy("key").agg(_largest(0), _largest(1), *_weights(0), *_weights(1))
+    ranged = keys.repartitionByRange("key").withColumn("part", F.spark_partition_id()).persist()
+    last = F.max_by("n0", F.when(F.col("n0") > 0, F.col("key"))).alias("last")
+    starts, before, carry = [], 0, 0
+    for r in ranged.groupBy("part").agg(F.sum("n0").alias("n"), last).orderBy("part").collect():
+        starts.append((r["part"], before, carry))
+        before += r["n"]
+        carry = before - r["last"] if r["last"] else carry
+    starts = rows.sparkSession.createDataFrame(starts, "part int, start long, carry long")
+    run = Window.partitionBy("part").orderBy("key")
+    seen = F.coalesce(F.sum("n0").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.last(F.when(F.col("n0") > 0, F.col("seen")), True).over(run.rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("seen", seen).withColumn("own", own).join(F.broadcast(starts), "part")
+    return placed.select(F.coalesce(F.col("own") + F.col("start"), F.col("carry")).alias("place"), "key", "m0", "m1", *SUMS), ranged, before
+
+
+def _descended(found: DataFrame, depth: int, fan: int, leaf_size: int) -> DataFrame:
+    """The finest segments, below open ones, with what becomes of them level by level: ``open`` if the finest itself is dirty and
+    large, ``leaf`` if it or a segment above it is dirty and small; ``scans``: the parts of open segments, told once."""
+    finest, edges = F.col(f"lo{depth}"), [f"{x}{k}" for k in range(depth + 1) for x in ("lo", "hi")]
+    out = found.withColumn("open", F.lit(True)).withColumn("leaf", F.lit(False)).withColumn("scans", F.lit(0).cast("long"))
+    for k in range(1, depth + 1):
+        own, width = Window.partitionBy(f"lo{k}", f"hi{k}"), F.col(f"hi{k}") - F.col(f"lo{k}")
+        if k < depth:
+            totals, first = [F.sum(c).over(own).alias(f"t{c}") for c in SUMS], F.min(finest).over(own) == finest
+        else:
+            totals, first = [F.col(c).alias(f"t{c}") for c in SUMS], F.lit(True)
+        out = out.select("*", *totals, first.alias("first"), F.greatest(totals[0], totals[4]).alias("most_here"))
+        same = (F.col("tn0") == F.col("tn1")) & (hash_total("ta0", "tb0", "tc0") == hash_total("ta1", "tb1", "tc1"))
+        dirty, large = F.col("open") & ~same, (F.col("most_here") > leaf_size) & (width > 1)
+        out = out.select(
+            *edges, *SUMS, (dirty & large).alias("open"), (F.col("leaf") | dirty & ~large).alias("leaf"), F.col("most_here").alias("most"),
+            (F.col("scans") + F.when(dirty & large & F.col("first"), F.least(F.lit(fan), width)).otherwise(0)).alias("scans"),
+        )
+    return out
 
 
 def walk(source: DataFrame, target: DataFrame, pk: list[str], fanout: int = 16, leaf_size: int = 5000, in_flight: DataFrame | None = None) -> Walk:
-    """Level by level: one aggregation a level gives every open segment's (rows, checksum) on both
-    sides; equal segments close, large ones split, small ones become leaves, joined together at the end.
+    """Segments of the key space, whose row count and checksum are compared on both sides: equal ones close, large ones
+    split, small ones become leaves, whose rows are compared at the end.
 
-    Both sides need rows. A segment of one place is a leaf whatever its size.
+    Rows are read once and aggregated at once by the finest segments that their number suggests, with partial
+    aggregation; the levels above are sums of those sums. Dirty segments stay tables: the driver sees counts
+    only, whatever the drift. Where keys leave gaps, what is still too large goes down further, by itself. A single integer
+    key is its own place; other keys are sorted and numbered, see ``_ordered``. With one side empty every key drifts.
     """
-    spark = source.sparkSession
-    source, target, lo, hi = _placed(source, target, pk)
-    wide = (hi - lo) * (max(2, fanout) + 1) >= 2**62
-    sides = source.withColumn("side", F.lit(0)).unionByName(target.withColumn("side", F.lit(1)))
-    rows = sides.withColumn("lo", F.lit(lo).cast("long")).withColumn("hi", F.lit(hi).cast("long")).persist()
-    scanned, inside, level = 1, None, rows
-    while True:
-        sums = level.groupBy("lo", "hi").pivot("side", [0, 1]).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("row_hash").cast("decimal(20,0)")).alias("s"))
-        same = F.col("0_n").eqNullSafe(F.col("1_n")) & modulo(F.col("0_s")).eqNullSafe(modulo(F.col("1_s")))
-        open_, leaves = [], []
-        for r in sums.where(~same).select("lo", "hi", F.greatest("0_n", "1_n").alias("n")).collect():
-            (open_ if r["n"] > leaf_size and r["hi"] - r["lo"] > 1 else leaves).append((r["lo"], r["hi"]))
-        if leaves:  # few: a segment is dirty, and its parent was
-            found = level.join(F.broadcast(spark.createDataFrame(leaves, "lo long, hi long")), ["lo", "hi"], "left_semi").select(*pk, "row_hash", "side")
-            inside = found if inside is None else inside.unionByName(found)
-        if not open_:
-            break
-        scanned += sum(len(boundaries(*s, fanout)) - 1 for s in open_)
-        kept = level.join(F.broadcast(spark.createDataFrame(open_, "lo long, hi long")), ["lo", "hi"], "left_semi")
-        own_lo, own_hi = child(F.col("place"), F.col("lo"), F.col("hi"), fanout, wide)
-        level = kept.withColumn("_lo", own_lo).withColumn("_hi", own_hi).withColumn("lo", F.col("_lo")).withColumn("hi", F.col("_hi")).drop("_lo", "_hi").persist()
-    if inside is None:
-        return Walk(matched(source, target, pk).where(F.lit(False)), 0, scanned)
-    joined = matched(inside.where("side = 0").select(*pk, "row_hash"), inside.where("side = 1").select(*pk, "row_hash"), pk)
-    if in_flight is not None:
-        joined = joined.join(in_flight.distinct(), pk, "left_anti")
-    joined = joined.persist()
-    return Walk(joined.where(F.col("kind").isNotNull()), joined.count(), scanned)
+    rows, fan, frames = _sides(source, target, pk), max(2, fanout), []
+    if len(pk) == 1 and isinstance(source.schema[pk[0]].dataType, T.IntegralType):
+        own = F.col("key").getField(pk[0]).cast("long")
+        table = rows.select(own.alias("place"), "key", "side", "row_hash").persist()
+        frames.append(table)
+        low, high, n0, n1 = table.agg(F.min("place"), F.max("place"), F.count(F.when(F.col("side") == 0, 1)), F.count(F.when(F.col("side") == 1, 1))).first()
+        sums, largest = [*_weights(0), *_weights(1)], [_largest(0), _largest(1)]
+    else:
+        table, kept, n0 = _ordered(rows)
+        frames.append(kept)
+        low, high, n1 = 0, n0 - 1, kept.agg(F.coalesce(F.sum("n1"), F.lit(0))).first()[0]
+        sums, largest = [F.sum(c).alias(c) for c in SUMS], [F.max(c).alias(c) for c in ("m0", "m1")]
+
+    def ended(segments: int, rows: DataFrame | None, before: bool = False) -> Walk:
+        """The walk's end with the rows of all leaves; ``before``: counted before keys in flight go."""
+        if rows is None:
+            out = Walk(matched(source, target, pk).where(F.lit(False)), 0, segments)
+        else:
+            found = _judged(rows.groupBy("key").agg(*largest)).select("key.*", "kind")
+            left = settled_keys(found, pk, in_flight)
+            found = (found if before else left).persist()
+            out = Walk((settled_keys(found, pk, in_flight) if before else found).where("kind IS NOT NULL"), found.count(), segments, [found])
+        for frame in frames:
+            frame.unpersist()
+        return out
+
+    if not (n0 and n1):
+        return ended(int(n0 + n1 > 0), table, True)
+    size, span, scanned, inside = max(n0, n1), high + 1 - low, 1, []
+    level, root = table.withColumn("lo0", F.lit(low).cast("long")).withColumn("hi0", F.lit(high + 1).cast("long")), True
+    while size:
+        depth = max(1, math.ceil(math.log(size / leaf_size, fan))) if size > leaf_size else 1
+        for k in range(depth):
+            lo, hi = child(F.col("place"), F.col(f"lo{k}"), F.col(f"hi{k}"), fan, span * (fan + 1) >= 2**62)
+            level, span = level.withColumn(f"lo{k + 1}", lo).withColumn(f"hi{k + 1}", hi), span // fan + 1
+        edges = [f"{x}{k}" for k in range(depth + 1) for x in ("lo", "hi")]
+        found = level.groupBy(*edges).agg(*sums).persist()
+        frames.append(found)
+        if root:  # one segment: its sums are a row
+            whole = found.agg(*(F.sum(c).alias(c) for c in SUMS))
+            if whole.select((F.col("n0") == F.col("n1")) & (hash_total("a0", "b0", "c0") == hash_total("a1", "b1", "c1"))).first()[0]:
+                return ended(1, None)
+            if size <= leaf_size or high == low:
+                return ended(1, table)
+            scanned, root = 1 + min(fan, high + 1 - low), False
+        seen = _descended(found, depth, fan, leaf_size).persist()
+        frames.append(seen)
+        more, leaves, size = seen.agg(F.sum("scans"), F.count(F.when(F.col("leaf"), 1)), F.max(F.when(F.col("open"), F.col("most")))).first()
+        scanned, at = scanned + (more or 0), [f"lo{depth}", f"hi{depth}"]
+        if leaves:
+            inside.append(level.join(seen.where("leaf").select(*at), at, "left_semi").drop(*edges))
+        if size:
+            level = level.join(seen.where("open").select(*at), at, "left_semi").withColumn("lo0", F.col(at[0])).withColumn("hi0", F.col(at[1])).drop(*edges[2:])
+    return ended(scanned, functools.reduce(DataFrame.unionByName, inside) if inside else None)

@@ -28,12 +28,15 @@ def recheck(
     ``load`` reads both sides anew, hashed and without a cutoff: a DataFrame kept from before
     would show the old files.
     """
-    current = candidates.persist()
-    for _ in range(rounds):
+    current = candidates
+    for k in range(rounds):
         if current.isEmpty():
             break
         if delay > 0:
             sleep(delay)
         source, target = load()
-        current = diff(with_keys(source, current, pk), with_keys(target, current, pk), pk).persist()
+        last, current = current, diff(with_keys(source, current, pk), with_keys(target, current, pk), pk).persist()
+        current.count()  # kept before the last look goes
+        if k:
+            last.unpersist()
     return current

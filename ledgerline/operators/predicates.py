@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.canon import column
+
 
 def _all(parts: list[Column]) -> Column:
     return functools.reduce(operator.and_, parts) if parts else F.lit(True)
@@ -26,21 +28,21 @@ def literal(df: DataFrame, column: str, value) -> Column:
 
 def settled(df: DataFrame, watermark: str | None, cutoff) -> DataFrame:
     """Rows at or below the cutoff; rows without a watermark value aren't among them. No cutoff, no filter."""
-    return df if not watermark or cutoff is None else df.where(F.col(f"`{watermark}`") <= literal(df, watermark, cutoff))
+    return df if not watermark or cutoff is None else df.where(column(watermark) <= literal(df, watermark, cutoff))
 
 
 def in_flight(df: DataFrame, pk: list[str], watermark: str | None, cutoff) -> DataFrame:
     """Keys above the cutoff."""
     if not watermark or cutoff is None:
-        return df.select(*pk).where(F.lit(False))
-    return df.where(F.col(f"`{watermark}`") > literal(df, watermark, cutoff)).select(*pk)
+        return df.select(*map(column, pk)).where(F.lit(False))
+    return df.where(column(watermark) > literal(df, watermark, cutoff)).select(*map(column, pk))
 
 
 def _beyond(df: DataFrame, pk: list[str], bound: tuple, below: bool) -> Column:
     """key >= bound, or key < bound, spelled out column by column so that it reaches the scan."""
     out = F.lit(False) if below else F.lit(True)
     for c, v in reversed(list(zip(pk, bound))):  # a shorter bound compares its own columns only
-        col, v = F.col(f"`{c}`"), literal(df, c, v)
+        col, v = column(c), literal(df, c, v)
         out = (col < v) | ((col == v) & out) if below else (col > v) | ((col == v) & out)
     return out
 
@@ -49,12 +51,12 @@ def in_range(df: DataFrame, pk: list[str], lo: tuple | None = None, hi: tuple |
     """Rows whose key lies in [lo, hi), compared as tuples; None is unbounded."""
     parts = []
     if lo is not None:  # the first column alone bounds too: files are pruned by it
-        parts += [F.col(f"`{pk[0]}`") >= literal(df, pk[0], lo[0]), _beyond(df, pk, lo, False)]
+        parts += [column(pk[0]) >= literal(df, pk[0], lo[0]), _beyond(df, pk, lo, False)]
     if hi is not None:
-        parts += [F.col(f"`{pk[0]}`") <= literal(df, pk[0], hi[0]), _beyond(df, pk, hi, True)]
+        parts += [column(pk[0]) <= literal(df, pk[0], hi[0]), _beyond(df, pk, hi, True)]
     return df.where(_all(parts)) if parts else df
 
 
 def with_keys(df: DataFrame, keys: DataFrame, pk: list[str]) -> DataFrame:
     """Rows whose key is among ``keys``. Spark broadcasts the keys if it knows them to be few."""
-    return df.join(keys.select(*pk).distinct(), pk, "left_semi")
+    return df.join(keys.select(*map(column, pk)).distinct(), pk, "left_semi")

@@ -13,7 +13,7 @@ from ledgerline.operators import bounds, predicates
 from ledgerline.plans import config as conf
 from ledgerline.plans.compare import compare
 from ledgerline.plans.config import Comparison, ConfigError
-from ledgerline.plans.report import Report, as_json, as_text, plain, print_report
+from ledgerline.plans.report import Report, plain, print_report, rendered
 from ledgerline.sources import registry
 from ledgerline.streaming.watch import watch
 
@@ -219,10 +219,12 @@ def test_registry(spark):
 def test_reports(spark, capsys):
     drift = spark.createDataFrame([(i, "missing") for i in range(25)], "id long, kind string")
     report = Report("orders", drift, ["id"], 9, 1, 25)
-    assert as_text(report).splitlines()[0] == "ledgerline: orders - DRIFT" and as_text(report).endswith("... and 5 more")
-    loaded = json.loads(as_json(report))
+    first, table = rendered(report).splitlines()[:2]
+    assert first == "orders: DRIFT, 25 keys differ" and table.split() == ["missing", "25", *map(str, range(20)), "..."]
+    loaded = json.loads(rendered(report, "json"))
+    assert list(loaded) == sorted(loaded) and json.loads(rendered(Report("none"), "json"))["drift_keys"] == []
     assert loaded["drift_total"] == 25 and loaded["drift_by_kind"] == {"missing": 25, "extra": 0, "changed": 0} and loaded["drift_keys"][0] == {"key": [0], "kind": "missing"}
-    assert print_report(Report("x", error="boom")) == 2 and "ERROR" in capsys.readouterr().out
+    assert print_report(Report("x", error="boom")) == 2 and "x: FAILED (boom)" in capsys.readouterr().out
     with pytest.raises(ValueError):
         print_report(report, "xml")
     assert [plain(v) for v in (float("nan"), Decimal("1.50"), dt.date(2024, 1, 2), b"\xff", True, None)] == ["nan", "1.5", "2024-01-02", "ff", True, None]
@@ -248,7 +250,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     path.write_text(yaml.safe_dump(two))
     assert cli.main(["run", "-c", str(path)]) == 2
     out = capsys.readouterr().out
-    assert "gone - ERROR" in out and "orders - DRIFT" in out
+    assert "gone: FAILED" in out and "orders: DRIFT" in out
     assert cli.main(["init"]) == 0 and "connections" in capsys.readouterr().out and cli.main([]) == 2
 
 
