@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from .functions.canon import canon
 from .operators import bounds, predicates
 from .operators import diff as d
 from .operators.checksum import checksum, hashed
-from .operators.lag import recheck
+from .operators.lag import cutoff, recheck
 from .plans import mirror
 from .plans.compare import compare, compared_columns
 from .plans.config import Comparison
+from .plans.report import plain
 
 TABLES = {
     "orders": (["o_orderkey"], {"o_custkey": "i", "o_orderdate": "t", "o_orderpriority": "s", "o_orderstatus": "s", "o_totalprice": "f"}),
@@ -251,10 +253,81 @@ def _segments(name):
     return query
 
 
-def segment_stats(spark, sf):
-    cmp = Comparison("orders", "orders", "orders", ["o_orderkey"], segment_fanout=16, leaf_size=200, recheck_rounds=0)
-    report = compare(lambda: _table(spark, sf, "orders"), lambda: _mirror(spark, sf, "orders"), cmp)
-    return spark.createDataFrame([(report.segments_scanned, report.rows_compared, report.drift_total)], "segments_scanned long, rows_compared long, drift_total long")
+_STATS = "segments_scanned long, rows_compared long, drift_total long"
+
+
+def _stats(load, **how):
+    """Counters of a comparison of what ``load`` gives: (segments_scanned, rows_compared, drift_total)."""
+
+    def query(spark, sf):
+        a, b, pk = load(spark, sf)
+        report = compare(lambda: a, lambda: b, Comparison("t", "a", "b", pk, recheck_rounds=0, **how))
+        report.release()
+        return spark.createDataFrame([(report.segments_scanned, report.rows_compared, report.drift_total)], _STATS)
+
+    return query
+
+
+def _orders_pair(spark, sf):
+    return _table(spark, sf, "orders"), _mirror(spark, sf, "orders"), ["o_orderkey"]
+
+
+def _healthy(spark, sf):
+    return _table(spark, sf, "orders"), _table(spark, sf, "orders"), ["o_orderkey"]
+
+
+def _lineitem_against_none(spark, sf):
+    rows = _table(spark, sf, "lineitem")
+    return rows, rows.where("1 = 0"), TABLES["lineitem"][0]
+
+
+def diff_mixed_key_types(spark, sf):
+    """Decimal keys here, long ones there: equal numbers are equal keys."""
+    a, b, pk = _orders_pair(spark, sf)
+    a = a.withColumn("o_orderkey", F.col("o_orderkey").cast("decimal(12,2)"))
+    report = compare(lambda: a, lambda: b, Comparison("t", "a", "b", pk, recheck_rounds=0, strategy="join"))
+    return report.drift.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "kind")
+
+
+def report_summary(spark, sf):
+    a, b, pk = _orders_pair(spark, sf)
+    told = compare(lambda: a, lambda: b, Comparison("orders", "a", "b", pk, recheck_rounds=0, strategy="join")).summary()
+    kinds = told["drift_by_kind"]
+    row = [told["comparison"], told["in_sync"], told["drift_total"], *(kinds[k] for k in d.KINDS), ",".join(kinds)]
+    return spark.createDataFrame([row], "comparison string, in_sync boolean, drift_total long, missing long, extra long, changed long, kinds string")
+
+
+def report_json_keys(spark, sf):
+    """The first keys as the JSON report has them: dates as ISO text, decimals plain."""
+    keyed = lambda df: df.select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderkey").cast("decimal(12,2)").alias("n"), "o_totalprice")
+    a, b, _ = _orders_pair(spark, sf)
+    found = compare(lambda: keyed(a), lambda: keyed(b), Comparison("t", "a", "b", ["day", "n"], recheck_rounds=0, strategy="join"))
+    rows = [(i, json.dumps([plain(v) for v in key]), kind) for i, (key, kind) in enumerate(found.keys(20))]
+    found.release()
+    return spark.createDataFrame(rows, "place long, key string, kind string")
+
+
+def cutoff_capture(spark, sf):
+    """Events that a run started an hour after the cutoff, with an hour of grace, finds settled."""
+    at = cutoff("ts", 3600, CUTOFF.replace(hour=1, tzinfo=datetime.timezone.utc))
+    return predicates.settled(_table(spark, sf, "events"), "ts", at).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+
+
+def _walk_sql(source: str, target: str, key: str, fan: int, leaf: int, levels: int = 8) -> str:
+    """The walk level by level, as range joins: (segments_scanned, rows_compared, drift_total)."""
+    total = "coalesce(sum(row_hash::HUGEINT) FILTER (side = {0}), 0) % 9223372036854775808"
+    parts = [f"""WITH r AS (SELECT {key} AS k, row_hash, 0 AS side FROM ({source}) UNION ALL SELECT {key}, row_hash, 1 FROM ({target})),
+    s0 AS (SELECT min(k) AS lo, max(k) + 1 AS hi FROM r)"""]
+    for n in range(levels):
+        parts.append(f"""c{n} AS (SELECT lo, hi, count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1, {total.format(0)} AS h0, {total.format(1)} AS h1
+        FROM s{n} LEFT JOIN r ON k >= lo AND k < hi GROUP BY lo, hi)""")
+        parts.append(f"o{n} AS (SELECT *, greatest(n0, n1) > {leaf} AND hi - lo > 1 AS large FROM c{n} WHERE n0 <> n1 OR h0 <> h1)")
+        edge = f"lo + (hi - lo) * (i + {{}}) // {fan}"
+        parts.append(f"s{n + 1} AS (SELECT DISTINCT {edge.format(0)} AS lo, {edge.format(1)} AS hi FROM o{n}, range({fan}) x(i) WHERE large AND {edge.format(0)} < {edge.format(1)})")
+    leaves = " UNION ALL ".join(f"SELECT lo, hi FROM o{n} WHERE NOT large" for n in range(levels))
+    scanned = " + ".join(f"(SELECT count(*) FROM s{n})" for n in range(levels))
+    return ", ".join(parts) + f""", leaves AS ({leaves}), kept AS (SELECT k, max(row_hash) FILTER (side = 0) AS a, max(row_hash) FILTER (side = 1) AS b FROM r JOIN leaves ON k >= lo AND k < hi GROUP BY k)
+    SELECT ({scanned})::BIGINT AS segments_scanned, (SELECT count(*) FROM kept)::BIGINT AS rows_compared, (SELECT count(*) FROM kept WHERE a IS DISTINCT FROM b)::BIGINT AS drift_total"""
 
 
 def report_sample(spark, sf):
@@ -329,7 +402,24 @@ def _catalog():
         "recheck_reconciled": (recheck_reconciled, f"SELECT l.* FROM ({_diff_sql('orders', orders, _rows_sql('orders', mirror.ORDERS_LATER))}) l WHERE o_orderkey IN (SELECT o_orderkey FROM ({ORDERS_DIFF}))"),
         "segment_diff_orders": (_segments("orders"), ORDERS_DIFF),
         "segment_diff_conversations": (_segments("conversations"), _diff_sql("conversations", _rows_sql("conversations"), _rows_sql("conversations", mirror.CONVERSATIONS))),
-        "segment_stats": (segment_stats, None),
+        "segment_stats": (_stats(_orders_pair, segment_fanout=16, leaf_size=200), _walk_sql(orders, _rows_sql("orders", mirror.ORDERS), "o_orderkey", 16, 200)),
+        "segment_stats_narrow": (_stats(_orders_pair, segment_fanout=4, leaf_size=1000), _walk_sql(orders, _rows_sql("orders", mirror.ORDERS), "o_orderkey", 4, 1000, 12)),
+        "verify_healthy": (_stats(_healthy), "SELECT 1::BIGINT AS segments_scanned, 0::BIGINT AS rows_compared, 0::BIGINT AS drift_total"),
+        "rows_examined_join": (
+            _stats(_orders_pair, strategy="join"),
+            f"SELECT 1::BIGINT AS segments_scanned, (SELECT count(*) FROM (SELECT o_orderkey FROM orders UNION SELECT o_orderkey FROM ({mirror.ORDERS})))::BIGINT AS rows_compared, (SELECT count(*) FROM ({ORDERS_DIFF}))::BIGINT AS drift_total",
+        ),
+        "rows_examined_one_side_empty": (
+            _stats(_lineitem_against_none),
+            "SELECT 1::BIGINT AS segments_scanned, count(*)::BIGINT AS rows_compared, count(*)::BIGINT AS drift_total FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)",
+        ),
+        "diff_mixed_key_types": (diff_mixed_key_types, ORDERS_DIFF),
+        "report_summary": (report_summary, f"""SELECT 'orders' AS comparison, count(*) = 0 AS in_sync, count(*)::BIGINT AS drift_total, (count(*) FILTER (kind = 'missing'))::BIGINT AS missing,
+            (count(*) FILTER (kind = 'extra'))::BIGINT AS extra, (count(*) FILTER (kind = 'changed'))::BIGINT AS changed, 'missing,extra,changed' AS kinds FROM ({ORDERS_DIFF})"""),
+        "report_json_keys": (report_json_keys, f"""WITH a AS (SELECT o_orderdate::DATE AS day, o_orderkey AS n, o_totalprice AS p FROM orders), b AS (SELECT o_orderdate::DATE AS day, o_orderkey AS n, o_totalprice AS p FROM ({mirror.ORDERS})),
+            j AS (SELECT day, n, CASE WHEN b.p IS NULL THEN 'missing' WHEN a.p IS NULL THEN 'extra' WHEN a.p <> b.p THEN 'changed' END AS kind FROM a FULL JOIN b USING (day, n))
+            SELECT row_number() OVER (ORDER BY day, n) - 1 AS place, '["' || strftime(day, '%Y-%m-%d') || '", "' || n || '"]' AS key, kind FROM j WHERE kind IS NOT NULL ORDER BY day, n LIMIT 20"""),
+        "cutoff_capture": (cutoff_capture, f"SELECT count(*)::BIGINT AS n, max(ts) AS last FROM events WHERE {_EVENT_CUT}"),
         "report_sample": (report_sample, f"SELECT * FROM ({ORDERS_DIFF}) ORDER BY o_orderkey LIMIT 20"),
     }
     return out

@@ -55,8 +55,8 @@ def canon(col: Column, kind: T.DataType, p: int = PRECISION) -> Column:
 
 
 def column(name: str) -> Column:
-    """The column of exactly this name, dots and all."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """The column of exactly this name, dots and all; names with backticks Spark can't address."""
+    return F.col(f"`{name}`")
 
 
 def row_hash(df: DataFrame, columns: list[str], p: int = PRECISION) -> Column:

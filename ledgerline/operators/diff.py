@@ -99,7 +99,7 @@ def _ordered(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 def _descended(found: DataFrame, depth: int, fan: int, leaf_size: int) -> DataFrame:
     """The finest segments, below open ones, with what becomes of them level by level: ``open`` if the finest itself is dirty and
     large, ``leaf`` if it or a segment above it is dirty and small; ``scans``: the parts of open segments, told once."""
-    finest, edges = F.col(f"lo{depth}"), [f"{x}{k}" for k in range(depth + 1) for x in ("lo", "hi")]
+    finest, edges = F.col("lo"), ["lo", "hi", *(f"{x}{k}" for k in range(depth + 1) for x in ("lo", "hi"))]
     out = found.withColumn("open", F.lit(True)).withColumn("leaf", F.lit(False)).withColumn("scans", F.lit(0).cast("long"))
     for k in range(1, depth + 1):
         own, width = Window.partitionBy(f"lo{k}", f"hi{k}"), F.col(f"hi{k}") - F.col(f"lo{k}")
@@ -117,20 +117,26 @@ def _descended(found: DataFrame, depth: int, fan: int, leaf_size: int) -> DataFr
     return out
 
 
+def _path(df: DataFrame, place: str, depth: int, fan: int, span: int) -> DataFrame:
+    """Adds the segments of ``place``, level by level below [lo0, hi0)."""
+    for k in range(depth):
+        lo, hi = child(F.col(place), F.col(f"lo{k}"), F.col(f"hi{k}"), fan, span * (fan + 1) >= 2**62)
+        df, span = df.withColumn(f"lo{k + 1}", lo).withColumn(f"hi{k + 1}", hi), span // fan + 1
+    return df
+
+
 def walk(source: DataFrame, target: DataFrame, pk: list[str], fanout: int = 16, leaf_size: int = 5000, in_flight: DataFrame | None = None) -> Walk:
     """Segments of the key space, whose row count and checksum are compared on both sides: equal ones close, large ones
     split, small ones become leaves, whose rows are compared at the end.
 
-    Rows are read once and aggregated at once by the finest segments that their number suggests, with partial
-    aggregation; the levels above are sums of those sums. Dirty segments stay tables: the driver sees counts
-    only, whatever the drift. Where keys leave gaps, what is still too large goes down further, by itself. A single integer
+    Keys are read for their bounds, then rows once, and aggregated at once by the finest segments that their number suggests, with
+    partial aggregation; the levels above are sums of those sums. Dirty segments stay tables: the driver sees
+    counts only, whatever the drift. Where keys leave gaps, what is still too large goes down further, by itself. A single integer
     key is its own place; other keys are sorted and numbered, see ``_ordered``. With one side empty every key drifts.
     """
     rows, fan, frames = _sides(source, target, pk), max(2, fanout), []
     if len(pk) == 1 and isinstance(source.schema[pk[0]].dataType, T.IntegralType):
-        own = F.col("key").getField(pk[0]).cast("long")
-        table = rows.select(own.alias("place"), "key", "side", "row_hash").persist()
-        frames.append(table)
+        table = rows.select(F.col("key").getField(pk[0]).cast("long").alias("place"), "key", "side", "row_hash")
         low, high, n0, n1 = table.agg(F.min("place"), F.max("place"), F.count(F.when(F.col("side") == 0, 1)), F.count(F.when(F.col("side") == 1, 1))).first()
         sums, largest = [*_weights(0), *_weights(1)], [_largest(0), _largest(1)]
     else:
@@ -145,8 +151,7 @@ def walk(source: DataFrame, target: DataFrame, pk: list[str], fanout: int = 16,
             out = Walk(matched(source, target, pk).where(F.lit(False)), 0, segments)
         else:
             found = _judged(rows.groupBy("key").agg(*largest)).select("key.*", "kind")
-            left = settled_keys(found, pk, in_flight)
-            found = (found if before else left).persist()
+            found = (found if before else settled_keys(found, pk, in_flight)).persist()
             out = Walk((settled_keys(found, pk, in_flight) if before else found).where("kind IS NOT NULL"), found.count(), segments, [found])
         for frame in frames:
             frame.unpersist()
@@ -154,29 +159,30 @@ def walk(source: DataFrame, target: DataFrame, pk: list[str], fanout: int = 16,
 
     if not (n0 and n1):
         return ended(int(n0 + n1 > 0), table, True)
-    size, span, scanned, inside = max(n0, n1), high + 1 - low, 1, []
+    size, span, scanned, inside, ends = max(n0, n1), high + 1 - low, 1, [], ["lo0", "hi0", "lo", "hi"]
     level, root = table.withColumn("lo0", F.lit(low).cast("long")).withColumn("hi0", F.lit(high + 1).cast("long")), True
     while size:
         depth = max(1, math.ceil(math.log(size / leaf_size, fan))) if size > leaf_size else 1
-        for k in range(depth):
-            lo, hi = child(F.col("place"), F.col(f"lo{k}"), F.col(f"hi{k}"), fan, span * (fan + 1) >= 2**62)
-            level, span = level.withColumn(f"lo{k + 1}", lo).withColumn(f"hi{k + 1}", hi), span // fan + 1
-        edges = [f"{x}{k}" for k in range(depth + 1) for x in ("lo", "hi")]
-        found = level.groupBy(*edges).agg(*sums).persist()
-        frames.append(found)
+        level = _path(level, "place", depth, fan, span).withColumn("lo", F.col(f"lo{depth}")).withColumn("hi", F.col(f"hi{depth}"))
+        level = level.select(*table.columns, *ends).persist()  # joins below see columns, not how they came about
+        found = _path(level.groupBy(*ends).agg(*sums), "lo", depth, fan, span).persist()
+        frames += [level, found]
         if root:  # one segment: its sums are a row
             whole = found.agg(*(F.sum(c).alias(c) for c in SUMS))
             if whole.select((F.col("n0") == F.col("n1")) & (hash_total("a0", "b0", "c0") == hash_total("a1", "b1", "c1"))).first()[0]:
                 return ended(1, None)
             if size <= leaf_size or high == low:
-                return ended(1, table)
+                return ended(1, level)
             scanned, root = 1 + min(fan, high + 1 - low), False
         seen = _descended(found, depth, fan, leaf_size).persist()
         frames.append(seen)
         more, leaves, size = seen.agg(F.sum("scans"), F.count(F.when(F.col("leaf"), 1)), F.max(F.when(F.col("open"), F.col("most")))).first()
-        scanned, at = scanned + (more or 0), [f"lo{depth}", f"hi{depth}"]
+        scanned += more or 0
         if leaves:
-            inside.append(level.join(seen.where("leaf").select(*at), at, "left_semi").drop(*edges))
+            inside.append(level.join(seen.where("leaf").select("lo", "hi"), ["lo", "hi"], "left_semi").select(*table.columns))
         if size:
-            level = level.join(seen.where("open").select(*at), at, "left_semi").withColumn("lo0", F.col(at[0])).withColumn("hi0", F.col(at[1])).drop(*edges[2:])
+            open_ = level.drop("lo0", "hi0").join(seen.where("open").select("lo", "hi"), ["lo", "hi"], "left_semi")
+            level = open_.select(*table.columns, F.col("lo").alias("lo0"), F.col("hi").alias("hi0"))
+        for _ in range(depth):
+            span = span // fan + 1
     return ended(scanned, functools.reduce(DataFrame.unionByName, inside) if inside else None)

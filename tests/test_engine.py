@@ -105,6 +105,43 @@ def test_composite_and_string_keys(spark, strategy):
         assert report.rows_compared < 1500
 
 
+def test_a_healthy_pair_is_one_segment_and_no_rows(spark):
+    rows = [(i, f"n{i}") for i in range(500)]
+    found, report = run(spark, rows, rows[::-1], SCHEMA, leaf_size=10)
+    assert found == {} and (report.segments_scanned, report.rows_compared) == (1, 0)
+
+
+@pytest.mark.parametrize("strategy", ["segment", "join"])
+def test_keys_of_unlike_types_meet_as_numbers_and_times(spark, strategy):
+    a = spark.sql("SELECT CAST(id AS DECIMAL(10,2)) AS id, 'x' AS v FROM range(40)")
+    b = spark.sql("SELECT id, 'x' AS v FROM range(1, 41)")
+    assert run(spark, a, b, None, strategy=strategy)[0] == {Decimal("0.00"): "missing", Decimal("40.00"): "extra"}
+    a = spark.sql("SELECT DATE'2024-01-01' AS id, 1 AS v")
+    b = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS id, 1 AS v UNION ALL SELECT TIMESTAMP_NTZ'2024-01-01 01:00:00', 2")
+    assert run(spark, a, b, None, strategy=strategy)[0] == {dt.datetime(2024, 1, 1, 1): "extra"}
+    with pytest.raises(ValueError, match="cast one side"):
+        run(spark, a, spark.sql("SELECT 'x' AS id, 1 AS v"), None, strategy=strategy)
+
+
+@pytest.mark.parametrize("strategy", ["segment", "join"])
+def test_names_with_dots_and_names_used_inside(spark, strategy):
+    a = [(i, i % 7, f"v{i}") for i in range(300)]
+    b = [(*x[:2], "other") if x[0] == 5 else x for x in a if x[0] != 9]
+    for names in (("a.b", "place"), ("side", "key"), ("lo0", "kind_"), ("n0", "row s")):
+        schema = T.StructType([T.StructField(n, T.LongType()) for n in names] + [T.StructField("open", T.StringType())])
+        want = {(5, 5): "changed", (9, 2): "missing"}
+        assert run(spark, a, b, schema, names, strategy=strategy, leaf_size=20)[0] == want
+        one = {5: "changed", 9: "missing"}
+        assert run(spark, a, b, schema, names[:1], strategy=strategy, leaf_size=20)[0] == one
+
+
+def test_one_side_empty_counts_keys_not_rows(spark):
+    rows = [(1, "a"), (1, "b"), (2, "c")]
+    for a, b, kind in ((rows, [], "missing"), ([], rows, "extra")):
+        found, report = run(spark, a, b, SCHEMA)
+        assert found == {1: kind, 2: kind} and report.rows_compared == 2 and report.segments_scanned == 1
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_random_drift(spark, seed):
     r = random.Random(seed)
