@@ -70,6 +70,8 @@ def _weights(side: int) -> list[Column]:
     return [F.count(F.when(own, 1)).alias(f"n{side}"), *sums]
 
 
+#: Dirty segments that the driver may hold, to keep plans short; more of them stay a table.
+FEW = 20_000
 SUMS = [f"{name}{side}" for side in (0, 1) for name in "nabc"]
 
 
@@ -160,9 +162,10 @@ def walk(source: DataFrame, target: DataFrame, pk: list[str], fanout: int = 16,
     if not (n0 and n1):
         return ended(int(n0 + n1 > 0), table, True)
     size, span, scanned, inside, ends = max(n0, n1), high + 1 - low, 1, [], ["lo0", "hi0", "lo", "hi"]
-    level, root = table.withColumn("lo0", F.lit(low).cast("long")).withColumn("hi0", F.lit(high + 1).cast("long")), True
+    level, root, depth = table.withColumn("lo0", F.lit(low).cast("long")).withColumn("hi0", F.lit(high + 1).cast("long")), True, 0
     while size:
-        depth = max(1, math.ceil(math.log(size / leaf_size, fan))) if size > leaf_size else 1
+        need = math.ceil(math.log(size / leaf_size, fan)) if size > leaf_size else 1
+        depth = max(1, need, 2 * depth)  # keys that leave gaps need more levels than their number says
         level = _path(level, "place", depth, fan, span).withColumn("lo", F.col(f"lo{depth}")).withColumn("hi", F.col(f"hi{depth}"))
         level = level.select(*table.columns, *ends).persist()  # joins below see columns, not how they came about
         found = _path(level.groupBy(*ends).agg(*sums), "lo", depth, fan, span).persist()
@@ -176,8 +179,10 @@ def walk(source: DataFrame, target: DataFrame, pk: list[str], fanout: int = 16,
             scanned, root = 1 + min(fan, high + 1 - low), False
         seen = _descended(found, depth, fan, leaf_size).persist()
         frames.append(seen)
-        more, leaves, size = seen.agg(F.sum("scans"), F.count(F.when(F.col("leaf"), 1)), F.max(F.when(F.col("open"), F.col("most")))).first()
+        more, leaves, opened, size = seen.agg(F.sum("scans"), F.count(F.when(F.col("leaf"), 1)), F.count(F.when(F.col("open"), 1)), F.max(F.when(F.col("open"), F.col("most")))).first()
         scanned += more or 0
+        dirty = seen.where("leaf OR open").select("lo", "hi", "leaf", "open")
+        seen = dirty if leaves + opened > FEW else seen.sparkSession.createDataFrame(dirty.collect(), "lo long, hi long, leaf boolean, open boolean")
         if leaves:
             inside.append(level.join(seen.where("leaf").select("lo", "hi"), ["lo", "hi"], "left_semi").select(*table.columns))
         if size:
