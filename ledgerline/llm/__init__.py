@@ -30,12 +30,14 @@ def queries():
 
 
 def oracle_sql():
-    from . import dedup, licenses, lines, mixing
+    from . import dedup, jaccard, licenses, lines, mixing, sharding
 
     return {
         "op1_mix": mixing.ORACLE_SQL,
         "op2_exact_dedup": dedup.ORACLE_SQL,
+        "op3_shard": sharding.ORACLE_SQL,
         "op6_substring_dedup": lines.ORACLE_SQL,
         "substring_dedup_texts": lines.TEXTS_SQL,
+        "op8_jaccard_join": jaccard.ORACLE_SQL,
         "op10_license_scan": licenses.ORACLE_SQL,
     }

@@ -521,3 +521,17 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"), words=4, percent=85).select(
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")
     )
+
+
+#: Every pair that shares a shingle is counted, and links are followed to their end: for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 4 THEN list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i : i + 3], ' ')))
+                      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS own FROM w),
+x AS (SELECT doc_id, unnest(own) AS shingle FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN s u ON u.doc_id = p.a JOIN s v ON v.doc_id = p.b WHERE 100 * n >= 85 * (len(u.own) + len(v.own) - n)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT r.a AS doc_id, any_value(len(s.own))::BIGINT AS n_shingles, min(r.b) AS component_id FROM r JOIN s ON s.doc_id = r.a GROUP BY r.a
+"""

@@ -63,3 +63,16 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", F.col("grown").alias("grown_shard")
     )
 
+
+
+#: Equal weights: the highest score is the highest hash. CRC-32 goes byte by byte, by its table.
+ORACLE_SQL = f"""
+WITH t AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS crcs FROM range(256) x(i)),
+b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, len(bytes) + 8 AS size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, crcs[1 + (xor(a, x) & 255)]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM b, t),
+h AS (SELECT doc_id, i, ('0x' || substr(md5(doc_id || ':' || i), 1, 15))::BIGINT AS h FROM documents, range({SHARDS + 1}) x(i)),
+s AS (SELECT doc_id, (arg_max(i, h) FILTER (i < {SHARDS}))::INTEGER AS shard, arg_max(i, h)::INTEGER AS grown_shard FROM h GROUP BY doc_id)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5('slot:' || doc_id || ':' || crc || ':' || size), 1, 15))::BIGINT, doc_id) - 1 AS slot, grown_shard
+FROM c JOIN s USING (doc_id)
+"""
