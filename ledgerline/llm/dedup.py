@@ -6,14 +6,16 @@ import hashlib
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_rows, bloom_has, bloom_of, stash, table
+from .common import as_rows, bloom_has, bloom_of, release, stash, table
 
 SPACES = b" \t\n\x0b\x0c\r"
 MEMTABLE_ROWS = 65_536
+RANGE_ROWS = 262_144
+FILTER_BYTES = 1 << 26
 
 
 def _normalised(column):
@@ -41,9 +43,6 @@ def flush_runs(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = MEM
         T.StructField("id", id_type), T.StructField("n", T.LongType()),
     ])
 
-    def rank(length, own):
-        return (-length, own is None, own if own is not None else 0)
-
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -71,7 +70,7 @@ def flush_runs(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = MEM
                     memtable[digest] = [length, own, 1]
                 else:
                     entry[2] += 1
-                    if rank(length, own) < rank(*entry[:2]):
+                    if _rank(length, own) < _rank(*entry[:2]):
                         entry[:2] = length, own
         if memtable:
             yield flush(out_schema)
@@ -79,12 +78,56 @@ def flush_runs(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = MEM
     return docs.mapInArrow(run, schema)
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """Merge runs: a digest keeps its best row (longest original text, then smallest id,
-    null ids last) and its count. Partial aggregation merges before the shuffle."""
-    best = F.min(F.struct((-F.col("length")).alias("l"), F.col("id").isNull().alias("u"), "id"))
-    merged = runs.groupBy("digest").agg(best.alias("best"), F.sum("n").alias("n"))
-    return merged.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.l")).alias("keep_length"), "n")
+def _rank(length, own):
+    """What orders the rows of a group: the longest original text first, then the smallest id, null ids last."""
+    return -length, own is None, own if own is not None else 0
+
+
+def digest_range(digest: Column, ranges: int) -> Column:
+    """Which of ``ranges`` (a power of two, 65,536 at most) equal parts of all digests one falls in."""
+    first = F.conv(F.rpad(F.hex(F.substring(digest, 1, 2)), 4, "0"), 16, 10).cast("int")
+    return F.shiftright(first, 17 - ranges.bit_length())
+
+
+def compact(runs: DataFrame, entries: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Level 1: the runs of level 0 merged by ranges of the digest into one sorted run a range, of
+    (digest, keep_id, keep_length, n), as far as a digest has two rows or more.
+
+    A range meets in one task, which reads the entries of its runs in the order of their digests and folds those
+    of one digest as they come: it holds one entry, however many runs have it. A digest comes once a run, so that a
+    group of any size brings at most as many entries as there are runs. Ranges hold about
+    ``range_rows`` entries each up to 65,536 ranges, which digests of any number fill evenly.
+    """
+    ranges = 1 << min(16, max(8, (entries // range_rows).bit_length()))
+    kinds = {f.name: f.dataType for f in runs.schema.fields}
+    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("keep_id", kinds["id"]), T.StructField("keep_length", T.LongType()), T.StructField("n", T.LongType())])
+
+    def merge(batches):
+        import pyarrow as pa
+
+        held, types = None, None
+
+        def out(rows):
+            rows = [r for r in rows if r[3] > 1]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=schema.names)
+
+        for batch in batches:
+            types, done = [f.type for f in batch.schema], []
+            for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is None or held[0] != entry[0]:
+                    done += [held] if held else []
+                    held = list(entry)
+                    continue
+                held[3] += entry[3]
+                if _rank(entry[2], entry[1]) < _rank(held[2], held[1]):
+                    held[1:3] = entry[1:3]
+            if done:
+                yield out(done)
+        if held:
+            yield out([held])
+
+    met = runs.repartition(digest_range(F.col("digest"), ranges)).sortWithinPartitions("digest")
+    return met.select("digest", "id", "length", "n").mapInArrow(merge, schema)
 
 
 def probe(docs: DataFrame, bloom, hot: dict[bytes, int], digest_bytes: int = 32) -> DataFrame:
@@ -113,28 +156,29 @@ def probe(docs: DataFrame, bloom, hot: dict[bytes, int], digest_bytes: int = 32)
     return docs.mapInArrow(run, schema)
 
 
-def dedup(docs: DataFrame, id_col="doc_id", text_col="text", digest_bytes: int = 32, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+def dedup(docs: DataFrame, id_col="doc_id", text_col="text", digest_bytes: int = 32, memtable_rows: int = MEMTABLE_ROWS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(id, keep_id, group_size, kept, sha): the group of each row, and the row that stays.
 
-    Two scans of the texts and no shuffle of them but for the hits. The index holds
-    digests of two rows or more; its filter (64 MB at most, whatever it holds) is all
-    that executors get whole. Groups with over a thousandth of all rows, so a thousand
+    Two scans of the texts and no shuffle of them but for the hits. Level 0 takes the digests of all rows, level 1
+    those of two rows or more; the filter of its runs is all that executors get whole: 16 bits a digest
+    or somewhat more, ``filter_bytes`` at most in each worker (64 MB hold 33 million digests at that rate, 2 GB a thousand million). Beyond
+    that a unique text may pass as a hit, at worst every one: it then travels to be compared with nothing and stays. Groups with over a thousandth of all rows, so a thousand
     at most, are salted. Null texts count as empty; null ids rank last; rows that repeat
     id and text are one document: all of them stay or go, and each counts in
     ``group_size``; an empty table gives no rows; extra columns aren't looked at.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     level0 = stash(flush_runs(docs, digest_bytes, memtable_rows), "dedup-level0")
-    level1 = stash(compact(level0).where("n > 1"), "dedup-level1")
-    counts = level1.agg(F.count(F.lit(1)).alias("groups")).first()
-    total = level0.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    entries, total = level0.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    level1 = stash(compact(level0, entries), "dedup-level1")
+    release(level0)
     fair = max(1, -(-total // 1000))
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(fair))).cast("int")
     hot = {bytes(r["digest"]): r["salts"] for r in level1.where(F.col("n") > fair).select("digest", salts.alias("salts")).collect()}
     if digest_bytes < 16:  # short digests are for tests of the verification: every row is a hit
         bloom = (512, b"\xff" * (256 * 512 // 8))
     else:
-        bloom = bloom_of(level1, "digest", counts["groups"], digest_bytes)
+        bloom = bloom_of(level1, "digest", level1.count(), digest_bytes, filter_bytes)
     probed = stash(probe(docs, bloom, hot, digest_bytes), "dedup-probed")
     unique = probed.where(~F.col("hit")).select(
         "id", F.col("id").alias("keep_id"), F.col("length").alias("keep_length"), F.lit(1).cast("long").alias("group_size"), "length", "sha"

@@ -96,6 +96,29 @@ def test_dedup_by_brute_force_and_with_colliding_digests(spark, width):
         assert (x["keep_id"], x["group_size"], x["kept"], x["sha"]) == (keep, len(groups[body]), keep == x["id"], hashlib.sha256(body.encode()).hexdigest())
 
 
+def test_compaction_merges_sorted_runs_by_ranges(spark):
+    r = random.Random(13)
+    rows = [(r.choice([None, r.randrange(50)]), f"t{r.randrange(300)}" + " " * r.randrange(3), "s") for _ in range(3000)]
+    docs = documents(spark, rows).select(F.col("doc_id").cast("string").alias("id"), "text").repartition(5)
+    runs = dedup.flush_runs(docs, memtable_rows=32)
+    level0 = runs.collect()
+    by_run = collections.defaultdict(list)
+    for x in level0:
+        by_run[x["run"]].append(bytes(x["digest"]))
+    assert len(by_run) > 5 and all(d == sorted(set(d)) and len(d) <= 32 for d in by_run.values())
+    groups = collections.defaultdict(list)
+    for i, t, _ in rows:
+        groups[t.strip()].append((-len(t), i is None, str(i)))
+    want = {hashlib.sha256(t.encode()).digest(): (None if min(g)[1] else min(g)[2], -min(g)[0], len(g)) for t, g in groups.items() if len(g) > 1}
+    for range_rows in (10**6, 1):
+        got = dedup.compact(runs, len(level0), range_rows).withColumn("part", F.spark_partition_id()).collect()
+        assert {bytes(x["digest"]): (x["keep_id"], x["keep_length"], x["n"]) for x in got} == want and len(got) == len(want)
+        parts = collections.defaultdict(list)
+        for x in got:
+            parts[x["part"]].append(bytes(x["digest"]))
+        assert all(d == sorted(d) for d in parts.values())
+
+
 def test_shards_move_little_and_slots_have_no_gaps(spark):
     rows = sharding.shard(documents(spark, [(i, f"t{i}", "s") for i in range(2000)])).collect()
     slots = collections.defaultdict(list)
