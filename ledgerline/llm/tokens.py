@@ -11,34 +11,27 @@ from pyspark.sql import functions as F
 from .common import per_worker, table
 
 LIMIT = 512
-CACHE_CHUNKS = 400_000
-BATCH_BYTES = 1 << 20
-LONG_CHUNK = 4096
+BATCH_CHARS = 1 << 18
+LONG = 1 << 16
 
 #: Where a byte-level BPE pre-tokenizer always starts a new piece, whatever stands around:
 #: before a lone space that joins two non-spaces, and on either side of such a lone newline.
 _SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
 
-def cut(text: str) -> list[str]:
-    """``text`` cut at safe boundaries: the token counts of the parts add up to the text's."""
-    words = text.split()
-    lone = text.count(" ") + text.count("\n")
-    if len(words) != lone + 1 or sum(map(len, words)) + lone != len(text):
-        return _SAFE.split(text)
-    parts = []  # all white space is lone spaces and newlines inside the text: the same cuts, faster
-    for i, line in enumerate(text.split("\n")):
-        if i:
-            parts.append("\n")
-        head, *rest = line.split(" ")
-        parts.append(head)
-        parts += [" " + word for word in rest]
-    return parts
-
-
-def counter(path: str, cache_chunks: int = CACHE_CHUNKS):
-    """A function from texts to token counts. Chunks met before come from a cache of bounded
-    size; new ones are encoded in batches of about ``BATCH_BYTES``."""
+def parts(text: str, long: int = LONG):
+    """``text`` in parts that start at safe boundaries, so that their token counts add up to its own: a text of up to
+    ``long`` characters whole, of a longer one parts that end at the first such boundary from there on."""
+    at = 0
+    while len(text) - at > long and (found := _SAFE.search(text, at + long)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
+def counter(path: str, batch_chars: int = BATCH_CHARS, long: int = LONG):
+    """A function from texts to token counts. It fills batches of about ``batch_chars`` with the parts of short and long
+    texts alike, so that each call to the library has the same work, and keeps nothing of them but lengths."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,37 +41,26 @@ def counter(path: str, cache_chunks: int = CACHE_CHUNKS):
     tokenizer.no_truncation()
     tokenizer.no_padding()
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    cache: dict[str, int] = {}
 
-    def learn(new: list[str]) -> None:
+    def batches(texts):
         batch, size = [], 0
-        for chunk in [*new, None]:
-            if chunk is None or size + len(chunk) > BATCH_BYTES and batch:
-                cache.update(zip(batch, (len(e.ids) for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
-                batch, size = [], 0
-            if chunk is not None:
-                batch.append(chunk)
-                size += len(chunk)
-
-    def count(texts: list[str | None]) -> list[int]:
-        totals = []
-        for text in texts:
+        for i, text in enumerate(texts):
             if not text:
-                totals.append(0)
                 continue
-            if any(s in text for s in special):
-                totals.append(len(tokenizer.encode(text, add_special_tokens=False).ids))
-                continue
-            parts = cut(text)
-            try:
-                totals.append(sum(map(cache.__getitem__, parts)))
-            except KeyError:
-                if len(cache) > cache_chunks:
-                    cache.clear()
-                learn(list({p for p in parts if p not in cache}))
-                totals.append(sum(map(cache.__getitem__, parts)))
-                for part in [p for p in set(parts) if len(p) > LONG_CHUNK]:
-                    del cache[part]  # long parts would make the cache's bound one of rows only
+            for part in [text] if any(s in text for s in special) else parts(text, long):
+                batch.append((i, part))
+                size += len(part)
+                if size >= batch_chars:
+                    yield batch
+                    batch, size = [], 0
+        if batch:
+            yield batch
+
+    def count(texts: list[str | None]) -> list[int]:
+        totals = [0] * len(texts)
+        for batch in batches(texts):
+            for (i, _), e in zip(batch, tokenizer.encode_batch_fast([part for _, part in batch], add_special_tokens=False), strict=True):
+                totals[i] += len(e)
         return totals
 
     return count

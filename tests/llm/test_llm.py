@@ -250,6 +250,22 @@ def test_toxicity_learns_sentences_from_document_labels(spark):
     assert model.score(None) == model.score("") == 0.0 and toxicity.fit([], []).score("a") < 0.1
 
 
+def test_scores_are_the_noisy_or_of_the_sentences(spark):
+    model = toxicity.Model(-2.0, {b"bad": 1.5, b"badl*": 0.5, b"nice": -1.0})
+    one = {b: 1 / (1 + math.exp(-z)) for b, z in (("bad", -0.5), ("badly", -1.5), ("nice", -3.0), ("none", -2.0), ("both", -1.5))}
+    texts = {"Bad.": ["bad"], "bad bad, BAD": ["bad"], "badly done! Nice.": ["badly", "nice"], "so\nbad nice? bad": ["none", "both", "bad"], "": [], None: [], "?! .": []}
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = [r[0] for r in docs.orderBy("doc_id").select(toxicity.score(F.col("text"), model)).collect()]
+    assert got == pytest.approx([1 - math.prod(1 - one[k] for k in kinds) for kinds in texts.values()])
+    found = toxicity.offending(docs, model, threshold=0.0).collect()
+    for i, (text, kinds) in enumerate(texts.items()):
+        own = sorted((r for r in found if r["id"] == i), key=lambda r: r["start"])
+        assert [r["score"] for r in own] == pytest.approx([one[k] for k in kinds])
+        assert 1 - math.prod(1 - r["score"] for r in own) == pytest.approx(got[i])
+        assert all(text[r["start"] : r["end"]].strip() for r in own)
+    assert toxicity.offending(docs.where("1 = 0"), model).collect() == [] and toxicity.offending(documents(spark, [(None, "bad", "s"), (None, "bad", "s"), (1, LONG, None)]), model).count() == 2
+
+
 def test_lines_are_cut_out_by_their_offsets(spark):
     line = "this line of eleven words stands in more than one text"
     docs = documents(spark, [(1, f"head one\n{line}\ntail", "s"), (2, f"{line.upper()}\nown text", "s"), (3, f"é {line}\n{line}", "s")])
@@ -347,7 +363,20 @@ def test_token_counts_equal_the_library(spark):
     parts = [" ", "  ", "\n", "\n\n", "\t", "a", "Ab", "'s", "12", "é", " ", "　", "日本", "<|endoftext|>", "!", "\x1c", "​", "Wort"]
     texts = ["".join(r.choices(parts, k=r.randrange(25))) for _ in range(3000)] + [LONG]
     want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-    assert tokens.counter(path, cache_chunks=50)(texts) == want
+    for batch, long in ((500, 1), (10_000, 7), (tokens.BATCH_CHARS, tokens.LONG)):
+        assert tokens.counter(path, batch, long)(texts) == want
+    assert max(map(len, tokens.parts(LONG))) <= tokens.LONG + 10 and "".join(tokens.parts(LONG)) == LONG
+
+
+def test_token_counts_of_the_whole_table_equal_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet'").fetchall())
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in texts.items()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.op9_token_counts(spark, SF).collect()}
+    assert got == {i: (*w, w[1] > 512) for i, w in want.items()}
 
 
 def test_licenses_found_despite_edits(spark):
