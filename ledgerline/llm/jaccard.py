@@ -5,8 +5,8 @@ its first n - ceil(threshold * n) + 1 shingles, in any order that holds for all
 such orders are used: both put shingles that a sketch of the whole corpus counts as
 frequent last, and otherwise follow two different hashes. Pairs must meet in the
 prefixes of both. Where many sets share a prefix shingle, pairs aren't listed: a
-first round links the sets to a few of them, and only what then still lies in different
-components is compared, set by set, in blocks.
+first round links the sets to a few of them. Only what then still lies in different
+components is met, in cells of bounded size, and compared if it meets in the other order too.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ CELL_BITS, SLICE_BITS = 23, 15
 CROWD = 64
 #: Sets of a crowd that all others of it are compared with in the first round.
 HUBS = 2
+#: Sets of a crowd that the second round deals to a side; a cell is the pairs of two sides, or of one.
+SIDE_SETS = 1024
 
 def shingle_sets(raws: list[bytes], k: int):
     """For each text, the sorted 64-bit hashes of its distinct k-word shingles; fewer words make one of all of them.
@@ -190,13 +192,16 @@ def _lists_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "a", "part", "partners", "token", "n"])
 
 
-def _partner_rows(keys, sizes, comps, percent, part):
-    """A row for each set with the larger keys it may link with, if any: lengths fit, components differ."""
+def _partner_rows(keys, sizes, comps, percent, part, sides=None):
+    """A row for each set with the larger keys it may link with, if any: lengths fit, components differ, and sides, if told."""
     order = np.argsort(keys, kind="stable")
     keys, sizes, comps = keys[order], sizes[order], comps[order]
+    sides = sides[order] if sides is not None else None
     for i in range(len(keys) - 1):
         n = sizes[i + 1 :]
         fit = (np.minimum(n, sizes[i]) * 100 >= percent * np.maximum(n, sizes[i])) & (comps[i + 1 :] != comps[i])
+        if sides is not None:
+            fit &= sides[i + 1 :] != sides[i]
         if fit.any():
             yield 0, int(keys[i]), part, keys[i + 1 :][fit].tobytes(), None, None
 
@@ -270,34 +275,52 @@ def meet(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 def cross(crowds: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Lists of the crowds' pairs whose sets still lie in different components.
+    """Lists of the crowds' pairs whose sets still lie in different components: part 3 or 4 by order.
 
-    Tokens within one component go by an aggregation; the rest are met token by token.
+    Tokens within one component go by an aggregation. The sets of each other token are dealt by
+    their key to sides of about SIDE_SETS, and each set goes to one cell for every side of its token: a task
+    holds one cell's rows, however large the crowd, and every pair is met in one cell.
     """
-    placed = crowds.join(comps.select(F.col("u").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    placed = crowds.withColumnRenamed("n", "size").join(comps.select(F.col("u").alias("key"), "root"), "key", "left")
+    placed = stash(placed.withColumn("root", F.coalesce("root", "key")), "jaccard-placed")
+    tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+    mixed = stash(tokens.where("lo < hi").select("token", "n"), "jaccard-mixed")
 
     def run(batches):
-        held, out = None, []
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)] if held else columns
-            if not len(columns[0]):
+        held, out, size = None, [], 0
+        for columns in batches:
+            last = columns is None
+            columns = held if last else [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)] if held else columns
+            if not columns or not len(columns[0]):
                 continue
-            starts = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                out.extend(_partner_rows(*(c[s:e] for c in columns[1:]), percent, 2))
-            held = [c[starts[-1] :] for c in columns]
-            if len(out) > 20_000:
-                yield _lists_batch(out)
-                out = []
-        if held:
-            out.extend(_partner_rows(*held[1:], percent, 2))
+            token, lo, hi = columns[:3]
+            new = np.append(True, (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+            starts = np.append(np.flatnonzero(new), len(token))
+            for s, e in zip(starts[:-1] if last else starts[:-2], starts[1:] if last else starts[1:-1], strict=True):
+                keys, sizes, roots, sides = (c[s:e] for c in columns[3:])
+                for row in _partner_rows(keys, sizes, roots, percent, 3 + int(token[s] & 1), sides if lo[s] != hi[s] else None):
+                    out.append(row)
+                    size += len(row[3])
+                    if size > 8_000_000 or len(out) > 20_000:
+                        yield _lists_batch(out)
+                        out, size = [], 0
+            held = None if last else [c[starts[-2] :] for c in columns]
         if out:
             yield _lists_batch(out)
 
-    rows = placed.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "key")
-    return rows.select("token", "key", "n", "root").mapInArrow(run, _LISTS).select("a", "part", "partners")
+    def cells(batches):
+        def arrays():
+            for batch in batches:
+                yield [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            yield None
+
+        return run(arrays())
+
+    rows = salted_lookup(placed, mixed, "token", placed.count()).withColumn("sides", F.ceil(F.col("n") / F.lit(SIDE_SETS)).cast("long"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("key"), F.col("sides"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
+    rows = rows.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
+    dealt = rows.select("token", "lo", "hi", "key", "size", "root", "side").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "key")
+    return dealt.mapInArrow(cells, _LISTS).select("a", "part", "partners")
 
 
 BLOCK_SETS = 2048
@@ -316,8 +339,9 @@ def _blocks(a: int, partners: np.ndarray):
 
 
 def _blocked(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lists joined by set: (block, key, partners), pairs that met in both orders or in a crowd;
-    and the sets that each block needs: (block, key).
+    """Lists joined by set: (block, key, partners), pairs that met in both orders or with a crowd's hub;
+    and the sets that each block needs: (block, key). A set with pairs of ``cross`` leaves out those that ``meet``
+    alone listed in both orders: they have been compared.
 
     Many sets may share their largest partner, a crowd its hubs. Sets come to tasks by hash, so a task that has seen c of a
     block's takes it that there are c times as many as tasks, and deals the next among as many blocks as
@@ -330,7 +354,10 @@ def _blocked(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         def settle(a, parts):
             own = [np.unique(np.concatenate([np.frombuffer(p, np.int64) for p in x])) if x else np.zeros(0, np.int64) for x in parts]
-            found = np.union1d(np.intersect1d(own[0], own[1], assume_unique=True), own[2])
+            found = np.intersect1d(own[0], own[1], assume_unique=True)
+            if len(own[3]) or len(own[4]):
+                found = np.setdiff1d(np.intersect1d(np.union1d(own[0], own[3]), np.union1d(own[1], own[4]), assume_unique=True), found, assume_unique=True)
+            found = np.union1d(found, own[2])
             return [(place(block, a, part), a, part) for block, part in _blocks(a, found)] if len(found) else []
 
         def place(block, a, part):
@@ -347,14 +374,14 @@ def _blocked(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
             columns = zip(*((b, a, p.tobytes()) for b, a, p in rows), strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "key", "partners"])
 
-        now, parts, rows, size = None, ([], [], []), [], 0
+        now, parts, rows, size = None, tuple([] for _ in range(5)), [], 0
         for batch in batches:
             for a, part, partners in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if a != now:
                     if now is not None and (found := settle(now, parts)):
                         rows += found
                         size += sum(len(f[2]) for f in found)
-                    now, parts = a, ([], [], [])
+                    now, parts = a, tuple([] for _ in range(5))
                     if size > 200_000:
                         yield out(rows)
                         rows, size = [], 0
@@ -481,11 +508,13 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, pe
     if not crowds.isEmpty():
         more = stash(cross(crowds, roots, percent), "jaccard-cross")
         if not more.isEmpty():
-            edges = edges.unionByName(verify(more, docs, classes, words, percent))
+            met = lists.where("part < 2").join(more.select("a").distinct(), "a", "left_semi").unionByName(more)
+            edges = edges.unionByName(verify(met, docs, classes, words, percent))
             roots = stash(components(edges), "jaccard-roots")
-    rooted = classes.join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = rooted.groupBy("root").agg(F.min("rep_id").alias("component"))
-    index = stash(rooted.join(named, "root").select("digest", "n", "component"), "jaccard-index")
+    rooted = classes.join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).withColumnRenamed("n", "copies")
+    named = stash(rooted.groupBy("root").agg(F.min("rep_id").alias("component"), F.count(F.lit(1)).alias("n")), "jaccard-named")
+    index = salted_lookup(rooted, named, "root", total).select("digest", F.col("copies").alias("n"), "component")
+    index = stash(index, "jaccard-index")
     some = salted_lookup(described.where("n > 0").withColumnRenamed("n", "n_shingles"), index, "digest", total)
     none = described.where("n = 0").select("id", "h", F.col("n").alias("n_shingles"), "digest", F.col("id").alias("component"))
     return some.select("id", "h", "n_shingles", "digest", "component").unionByName(none)

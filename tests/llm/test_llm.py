@@ -335,6 +335,7 @@ def test_jaccard_join_by_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(jaccard, "CROWD", crowd)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
     monkeypatch.setattr(jaccard, "STAR_SETS", 2)
+    monkeypatch.setattr(jaccard, "SIDE_SETS", 5)
     r = random.Random(5)
     base = [[f"{r.randrange(10**6)}" for _ in range(60)] for _ in range(4)]
     rows = [(i, t, "s") for i, t in enumerate(["", None, "a", "A ", "a b", " "])]
@@ -349,6 +350,23 @@ def test_jaccard_join_by_brute_force(spark, monkeypatch, crowd):
     assert sorted(kept) == sorted({c for _, c in got.values()})
 
 
+def test_a_crowd_of_sets_that_dont_link_loses_none_that_do(spark, monkeypatch):
+    """Every text begins with one passage; without the sketch its shingles stand in the prefixes."""
+    monkeypatch.setattr(jaccard, "frequency_levels", lambda *a: bytes(1 << jaccard.CELL_BITS))
+    monkeypatch.setattr(jaccard, "CROWD", 3)
+    monkeypatch.setattr(jaccard, "SIDE_SETS", 8)
+    r = random.Random(9)
+    shared = [f"p{i}" for i in range(30)]
+    own = [[f"{r.randrange(10**6)}" for _ in range(25)] for _ in range(45)]
+    rows = [(i, " ".join(shared + w), "s") for i, w in enumerate(own)]
+    rows += [(100 + i, " ".join(shared + w[: r.randrange(19, 26)]), "s") for i, w in enumerate(own)]
+    cells, meet = [], jaccard.cross
+    monkeypatch.setattr(jaccard, "cross", lambda *a: cells.append(meet(*a)) or cells[0])
+    got = {x["id"]: (x["n_shingles"], x["component"]) for x in jaccard.linked(documents(spark, rows), words=4, percent=85).collect()}
+    assert got == components_by_hand(rows, 4, 85) and len({c for _, c in got.values()}) < len(rows)
+    assert {x["part"] for x in cells[0].select("part").distinct().collect()} == {3, 4}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     assert dict(map(tuple, graph.components(edges).collect())) == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
