@@ -20,6 +20,7 @@ def queries():
         "op3_shard": sharding.op3_shard,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_toxicity": toxicity.op5_toxicity,
+        "toxicity_sentences": toxicity.toxicity_sentences,
         "op6_substring_dedup": lines.op6_substring_dedup,
         "substring_dedup_texts": lines.substring_dedup_texts,
         "op7_line_dedup": chunks.op7_line_dedup,

@@ -9,13 +9,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 
 #: Labelled rows that a model is fitted on: at most so many of each class, in order of a hash of their id.
 SAMPLE_EACH = 2500
+#: Bytes of text that the sample of a class may hold; a text of over a sixteenth of that isn't fitted on. All texts are scored.
+SAMPLE_BYTES = 1 << 24
 #: Features that a model may have, and the lengths of the beginnings of words among them.
 FEATURES, PREFIXES = 4000, (4, 5, 6)
 THRESHOLD = 0.3
@@ -125,11 +127,13 @@ def held_out(id_col: Column, folds=HELD_OUT) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds[0] == folds[1], F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", sample_each: int = SAMPLE_EACH) -> Model:
-    """Fit on a bounded sample of labelled rows outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", sample_each: int = SAMPLE_EACH, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on a sample of labelled rows outside the held-out fold, bounded in rows and in bytes: of each class
+    at most ``sample_each`` rows, and of those as many, in order of a hash of their id, as ``sample_bytes`` hold.
 
-    Rows without id, text or label are left out; of an id with several labels the larger
-    counts. Without rows of both classes the model is a constant.
+    Rows without id, text or label are left out, and texts of over a sixteenth of ``sample_bytes``; of an id with
+    several labels the larger counts, of one with several texts the least text. Extra columns aren't looked at. Without
+    rows of both classes, as in an empty table, the model is a constant.
     """
     known = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
@@ -143,8 +147,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     chosen = taken[0].unionByName(taken[1])  # 2 * sample_each ids at most
     rows = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-        .join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y").collect()
+        .join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     )
+    rows = stash(rows.withColumn("size", F.octet_length("text").cast("long")).where(F.col("size") <= sample_bytes // 16), "toxicity-sample")
+    so_far = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    fit_in = rows.select("id", "y", "size").withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes)
+    rows = rows.join(F.broadcast(fit_in.select("id")), "id").select("text", "y").collect()
     weight = tuple(max(1.0, sizes.get(y, 0) / sample_each) for y in (0, 1))
     least = min(weight)
     return fit([r["text"] for r in rows], [r["y"] for r in rows], weight=tuple(x / least for x in weight))
@@ -160,7 +168,11 @@ def score(text: Column, model: Model) -> Column:
 
 
 def offending(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", threshold: float = THRESHOLD) -> DataFrame:
-    """The sentences that carry a document's score: (id, start, end, score), offsets in UTF-8 bytes."""
+    """The sentences that carry a document's score: (id, start, end, score), offsets in UTF-8 bytes.
+
+    Null and empty texts have none; rows that repeat have theirs each; null ids stay null; a very long text is read
+    whole, sentence by sentence; extra columns aren't looked at; an empty table gives no rows.
+    """
     @F.arrow_udf("array<struct<start:int,end:int,score:double>>")
     def locate(texts: pa.Array) -> pa.Array:
         out = []
@@ -181,3 +193,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def toxicity_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence that alone reaches the threshold: (doc_id, start_byte, end_byte, score); edge cases as in ``offending``."""
+    docs = table(spark, sf_dir, "documents")
+    found = offending(docs, train(docs, table(spark, sf_dir, "labels")))
+    return found.select(F.col("id").alias("doc_id"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "score")

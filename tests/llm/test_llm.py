@@ -266,6 +266,35 @@ def test_scores_are_the_noisy_or_of_the_sentences(spark):
     assert toxicity.offending(docs.where("1 = 0"), model).collect() == [] and toxicity.offending(documents(spark, [(None, "bad", "s"), (None, "bad", "s"), (1, LONG, None)]), model).count() == 2
 
 
+def test_located_sentences_are_those_that_reach_the_threshold(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    want = set()
+    for own, text in docs.select("doc_id", "text").collect():
+        at = 0
+        for s in re.split(r"[.!?\n\r]", text or ""):
+            end = at + len(s.encode())
+            if model.score(s) >= toxicity.THRESHOLD:
+                want.add((own, at, end, round(model.score(s), 9)))
+            at = end + 1
+    got = [tuple(r) for r in llm.queries()["toxicity_sentences"](spark, SF).collect()]
+    assert {(i, a, b, round(p, 9)) for i, a, b, p in got} == want and len(got) == len(want) > 0
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, ("bad " if i % 2 else "good ") * 20 + f"w{i}", "s") for i in range(200)] + [(201, LONG, "s"), (202, None, "s"), (1, "bad", "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(203)] + [(5, 0), (None, 1)], "doc_id long, toxic int")
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, weight: fitted.append(sorted(zip(y, texts, strict=True))))
+    for most in (2000, 1 << 24):
+        toxicity.train(documents(spark, rows), labels, sample_bytes=most)
+    small, whole = fitted
+    assert set(small) < set(whole) and LONG in {t for _, t in whole}
+    assert all(1800 < sum(len(t) for label, t in small if label == y) <= 2000 for y in (0, 1))
+    toxicity.train(documents(spark, []), labels)
+    assert fitted[-1] == []
+
+
 def test_lines_are_cut_out_by_their_offsets(spark):
     line = "this line of eleven words stands in more than one text"
     docs = documents(spark, [(1, f"head one\n{line}\ntail", "s"), (2, f"{line.upper()}\nown text", "s"), (3, f"é {line}\n{line}", "s")])
